@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, topk
+from . import chat, codec, media, packing, tokens, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+
+
+def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
 def op3_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
 
@@ -21,10 +29,19 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), limit=2048)
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path(BYTE_BPE), capacity=1024, tail=(2,))
+
+
 OP3_SQL = """
 WITH turns AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
@@ -64,9 +81,12 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 QUERIES: dict[str, Query] = {
+    "op2_bpe_codec": op2_bpe_codec,
     "op3_chat_collapse": op3_chat_collapse,
     "op4_media_columns": op4_media_columns,
+    "op6_token_counts": op6_token_counts,
     "op7_exact_topk": op7_exact_topk,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
