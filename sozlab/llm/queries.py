@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, codec, media, packing, tokens, topk
+from . import chat, codec, media, neardup, packing, tokens, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), limit=2048)
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "op2_bpe_codec": op2_bpe_codec,
     "op3_chat_collapse": op3_chat_collapse,
     "op4_media_columns": op4_media_columns,
+    "op5_minhash_neardup": op5_minhash_neardup,
     "op6_token_counts": op6_token_counts,
     "op7_exact_topk": op7_exact_topk,
     "op9_best_fit_packing": op9_best_fit_packing,
