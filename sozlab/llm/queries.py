@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, codec, media, neardup, packing, tokens, topk
+from . import chat, codec, media, neardup, packing, substrings, tokens, topk, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -46,6 +50,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path(BYTE_BPE), capacity=1024, tail=(2,))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP3_SQL = """
 WITH turns AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
@@ -85,6 +93,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe_codec": op2_bpe_codec,
     "op3_chat_collapse": op3_chat_collapse,
     "op4_media_columns": op4_media_columns,
@@ -92,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op6_token_counts": op6_token_counts,
     "op7_exact_topk": op7_exact_topk,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
