@@ -14,9 +14,11 @@ import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
+import numpy as np
 import regex
+import tiktoken
 
 #: Fixed value: white space as the tokenizer's pattern language has it.
 SPACES = r"\t\n\x0B\x0C\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -27,7 +29,10 @@ BYTE_LEVEL_PATTERN = (
 )
 BLOCK = 1 << 14
 #: Pieces up to this many characters are remembered, at most so many of them.
-MEMO_CHARS, MEMO_SIZE = 48, 1 << 18
+MEMO_CHARS, MEMO_SIZE, WORD_MEMO_SIZE = 48, 1 << 18, 1 << 19
+#: Punctuation that stands alone after letters.
+STOPS = frozenset(".,;:!?)")
+NO_MERGE = 1 << 40
 #: Where a space has white space beside it, words are not cut at spaces.
 WIDE_GAP = re.compile(r" \s|\s ")
 
@@ -60,7 +65,8 @@ class Vocabulary:
         for pair in model["merges"]:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.merges.append((self.ids[left], self.ids[right], self.ids[left + right]))
-        self.pairs = {(a, b): (rank, made) for rank, (a, b, made) in enumerate(self.merges)}
+        self.ranks = {(a, b): rank for rank, (a, b, _) in enumerate(self.merges)}
+        self.made_by = [made for _, _, made in self.merges]
         self.bytes_of: dict[int, bytes] = {i: self._bytes(t) for t, i in self.ids.items()}
         self.bytes_of |= {i: t.encode("utf-8") for t, i in self.added.items()}
 
@@ -107,36 +113,40 @@ class Merger:
         return self._short(symbols) if len(symbols) <= 64 else self._long(symbols)
 
     def _short(self, symbols: list[int]) -> list[int]:
-        pairs = self.vocab.pairs
-        while len(symbols) > 1:
-            found = min(((hit[0], i, hit[1]) for i, p in enumerate(zip(symbols, symbols[1:])) if (hit := pairs.get(p))), default=None)
-            if found is None:
-                break
-            _, at, made = found
-            symbols[at : at + 2] = [made]
+        """Always the earliest merge of the list that fits, leftmost first; ranks of neighbours are kept beside."""
+        ranks, made_by = self.vocab.ranks, self.vocab.made_by
+        fits = list(map(ranks.get, zip(symbols, symbols[1:]), repeat(NO_MERGE)))
+        while fits and (best := min(fits)) != NO_MERGE:
+            at = fits.index(best)
+            symbols[at : at + 2] = (made_by[best],)
+            del fits[at]
+            if at:
+                fits[at - 1] = ranks.get((symbols[at - 1], symbols[at]), NO_MERGE)
+            if at < len(fits):
+                fits[at] = ranks.get((symbols[at], symbols[at + 1]), NO_MERGE)
         return symbols
 
     def _long(self, symbols: list[int]) -> list[int]:
         """The same with a heap of pairs and linked neighbours."""
-        pairs, n = self.vocab.pairs, len(symbols)
+        ranks, made_by, n = self.vocab.ranks, self.vocab.made_by, len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         alive = [True] * n
-        heap = [(hit[0], i, p, hit[1]) for i, p in enumerate(zip(symbols, symbols[1:])) if (hit := pairs.get(p))]
+        heap = [(ranks[p], i, p) for i, p in enumerate(zip(symbols, symbols[1:])) if p in ranks]
         heapq.heapify(heap)
         while heap:
-            _, at, pair, made = heapq.heappop(heap)
+            rank, at, pair = heapq.heappop(heap)
             nxt = after[at] if alive[at] else n
             if nxt >= n or (symbols[at], symbols[nxt]) != pair:
                 continue
-            symbols[at], alive[nxt] = made, False
+            symbols[at], alive[nxt] = made_by[rank], False
             after[at] = after[nxt]
             if after[at] < n:
                 before[after[at]] = at
             for start in (before[at], at):
                 if start >= 0 and after[start] < n:
                     p = (symbols[start], symbols[after[start]])
-                    if hit := pairs.get(p):
-                        heapq.heappush(heap, (hit[0], start, p, hit[1]))
+                    if p in ranks:
+                        heapq.heappush(heap, (ranks[p], start, p))
         return [s for s, live in zip(symbols, alive) if live]
 
 
@@ -164,9 +174,14 @@ class WordMemo(dict):
         self.pieces, self.memo = pieces, memo
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(chain.from_iterable(map(self.memo.__getitem__, self.pieces.findall(" " + word))))
+        if word.isalpha():
+            ids = self.memo[" " + word]
+        elif word[-1:] in STOPS and word[:-1].isalpha():
+            ids = self.memo[" " + word[:-1]] + self.memo[word[-1]]
+        else:
+            ids = tuple(chain.from_iterable(map(self.memo.__getitem__, self.pieces.findall(" " + word))))
         if len(word) <= MEMO_CHARS and "\n" not in word:
-            if len(self) >= MEMO_SIZE:
+            if len(self) >= WORD_MEMO_SIZE:
                 self.clear()
             self[word] = ids
         return ids
@@ -362,3 +377,21 @@ def encode(path: str, text: str) -> list[int]:
 def decode(path: str, ids: Iterable[int]) -> str:
     decoder = Decoder(path)
     return decoder.feed(ids) + decoder.finish()
+
+
+@functools.lru_cache(maxsize=4)
+def rank_encoding(path: str) -> tiktoken.Encoding:
+    """The same vocabulary in a native encoder, for whole texts that fit in memory.
+
+    It merges by token id, which is the order of the merge list only where the ids follow it; that is checked.
+    """
+    vocab = vocabulary(path)
+    if vocab.suffix or vocab.made_by != sorted(vocab.made_by) or max(vocab.inner) >= min(vocab.made_by):
+        raise ValueError("ids do not follow the merges")
+    ranks = {vocab.bytes_of[i]: i for i in vocab.ids.values()}
+    return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=vocab.added)
+
+
+def encode_whole(path: str, text: str) -> np.ndarray:
+    """The ids of a text as unsigned 32-bit numbers, by the native encoder."""
+    return rank_encoding(path).encode_to_numpy(text, allowed_special="all")

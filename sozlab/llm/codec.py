@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -69,12 +68,3 @@ def decoded(frame: DataFrame, path: str, ids_col: str = "token_ids", text_col: s
             yield batch
 
     return frame.select(*kept).mapInPandas(decode, frame.select(*kept).schema.add(text_col, "string"))
-
-
-def packed_ids(path: str, text: str, tail: tuple[int, ...] = ()) -> array:
-    """The ids of ``text`` and ``tail`` as unsigned 32-bit numbers."""
-    out = array("I")
-    for ids in bpe.encode_stream(path, bpe.parts(text)):
-        out.extend(ids)
-    out.extend(tail)
-    return out

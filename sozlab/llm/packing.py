@@ -10,7 +10,6 @@ or nothing improves.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import reduce
 
@@ -19,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .codec import packed_ids
+from .bpe import encode_whole
 from .common import settle, spread, text_or_empty
 
 CAPACITY = 1024
@@ -134,9 +133,9 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, tail: tuple[int, ...],
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].array, batch["text"]):
-                ids = packed_ids(path, text, tail)
+                ids = np.concatenate([encode_whole(path, text), np.array(tail, np.uint32)]).astype("<u4")
                 for n, (start, length) in enumerate(cuts(len(ids), capacity)):
-                    data = _little_endian(ids[start : start + length])
+                    data = ids[start : start + length].tobytes()
                     row = (doc_id, n, start, length, zlib.crc32(data))
                     rows.append((*row, data) if keep_ids else row)
             names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * keep_ids
@@ -148,10 +147,6 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, tail: tuple[int, ...],
     return ready.mapInPandas(cut, PIECES + ", ids binary" * keep_ids)
 
 
-def _little_endian(ids: array) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
-
-
 def pack_documents(
     docs: DataFrame,
     path: str,
