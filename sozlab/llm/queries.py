@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, codec, media, neardup, packing, substrings, tokens, topk, toxicity
+from . import chat, codec, licenses, media, neardup, packing, substrings, tokens, topk, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("places")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, public_tokenizers.path(BYTE_BPE), capacity=1024, tail=(2,))
@@ -100,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "op5_minhash_neardup": op5_minhash_neardup,
     "op6_token_counts": op6_token_counts,
     "op7_exact_topk": op7_exact_topk,
+    "op8_license_scan": op8_license_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_toxicity": op10_toxicity,
 }
@@ -107,4 +112,5 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_collapse": OP3_SQL,
     "op7_exact_topk": OP7_SQL,
+    "op8_license_scan": licenses.oracle_sql(),
 }
