@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .common import text_or_empty
+from .common import documents_of, map_texts
 
-DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def round_trip(path: str, text: str) -> tuple[int, str, str]:
@@ -35,36 +33,28 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
     those tokens; null ids and repeated rows come back as they are; columns besides doc_id and text are ignored.
     """
 
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [round_trip(path, t) for t in batch["text"]]
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+    def digests(texts: list[str]) -> dict[str, list]:
+        rows = [round_trip(path, t) for t in texts]
+        return {c: [r[i] for r in rows] for i, c in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))}
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(digests, DIGESTS)
+    return map_texts(documents_of(docs), digests, ["doc_id"], ["text"], DIGESTS)
 
 
 def encoded(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """The table with an array column of token ids (replacing a column of that name); null text: empty array."""
     kept = [c for c in docs.columns if c != ids_col]
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch[ids_col] = [bpe.encode(path, t or "") for t in batch[text_col]]
-            yield batch
+    def encode(texts: list[str | None]) -> dict[str, list]:
+        return {ids_col: [bpe.encode(path, t or "") for t in texts]}
 
-    schema = docs.select(*kept).schema.add(ids_col, "array<int>")
-    return docs.select(*kept).mapInPandas(encode, schema)
+    return map_texts(docs, encode, kept, [text_col], f"`{ids_col}` array<int>")
 
 
 def decoded(frame: DataFrame, path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
     """The table with a text column decoded from an array of ids (replacing one of that name); null ids: null."""
     kept = [c for c in frame.columns if c != text_col]
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch[text_col] = [None if ids is None else bpe.decode(path, ids) for ids in batch[ids_col]]
-            yield batch
+    def decode(lists: list[list[int] | None]) -> dict[str, list]:
+        return {text_col: [None if ids is None else bpe.decode(path, ids) for ids in lists]}
 
-    return frame.select(*kept).mapInPandas(decode, frame.select(*kept).schema.add(text_col, "string"))
+    return map_texts(frame, decode, kept, [ids_col], f"`{text_col}` string")

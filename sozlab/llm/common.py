@@ -5,9 +5,13 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 WORKING_PARTITION_ROWS = 4096
 
@@ -59,3 +63,26 @@ def spread(rows: int, per_part: int = WORKING_PARTITION_ROWS, least: int = 1) ->
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def map_texts(frame: DataFrame, compute: Callable[..., dict[str, list]], kept: list[str], read: list[str], ddl: str) -> DataFrame:
+    """Columns ``kept`` as they are (nulls and large numbers too) beside columns that ``compute`` makes.
+
+    ``compute`` gets the columns ``read`` of a batch as lists and returns the columns of ``ddl`` as lists.
+    """
+    made = StructType.fromDDL(ddl)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = to_arrow_schema(made)
+        for batch in batches:
+            out = compute(*[batch.column(c).to_pylist() for c in read])
+            arrays = [batch.column(c) for c in kept] + [pa.array(out[f.name], f.type) for f in types]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *types.names])
+
+    schema = StructType(list(frame.select(*kept).schema.fields) + list(made.fields))
+    return frame.select(*dict.fromkeys([*kept, *read])).mapInArrow(mapped, schema)
+
+
+def documents_of(docs: DataFrame) -> DataFrame:
+    """doc_id as long and text, null as empty, of a table whatever else it holds."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))

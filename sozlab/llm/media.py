@@ -14,10 +14,9 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import text_or_empty
+from .common import documents_of, map_texts
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -25,7 +24,7 @@ WIDTH = 64
 MOST_WIDTH = 4096
 LEVEL = 1
 SCHEMA = (
-    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
+    "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
     "media_bytes long, media_sha256 string, feature string"
 )
 SIDE, KEEP = 32, 8
@@ -181,30 +180,20 @@ def media_row(text: str) -> tuple:
     )
 
 
-def _media(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in SCHEMA.split(", ")][1:]
-    for batch in batches:
-        rows = pd.DataFrame([media_row(t) for t in batch["text"]], columns=names)
-        rows.insert(0, "doc_id", batch["doc_id"].to_numpy())
-        yield rows
+def _features(texts: list[str]) -> dict[str, list]:
+    rows = [media_row(t) for t in texts]
+    return {c.split()[0]: [r[i] for r in rows] for i, c in enumerate(SCHEMA.split(", "))}
 
 
-def _stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        payloads = [padded(t.encode("utf-8")) for t in batch["text"]]
-        png = [encode_png(p, width_for(len(p))) for p in payloads]
-        yield pd.DataFrame(
-            {
-                "doc_id": batch["doc_id"].to_numpy(),
-                "n_bytes": [len(t.encode("utf-8")) for t in batch["text"]],
-                "png": png,
-            }
-        )
+def _stored(texts: list[str]) -> dict[str, list]:
+    data = [t.encode("utf-8") for t in texts]
+    payloads = map(padded, data)
+    return {"n_bytes": list(map(len, data)), "png": [encode_png(p, width_for(len(p))) for p in payloads]}
 
 
 def to_media(docs: DataFrame) -> DataFrame:
     """Each row's text as a PNG in a binary column: doc_id, n_bytes, png.  Null texts are empty texts."""
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(_stored, "doc_id long, n_bytes long, png binary")
+    return map_texts(documents_of(docs), _stored, ["doc_id"], ["text"], "n_bytes long, png binary")
 
 
 def media_features(docs: DataFrame) -> DataFrame:
@@ -213,4 +202,4 @@ def media_features(docs: DataFrame) -> DataFrame:
     Row for row: null and empty texts are 64 zero bytes; null ids stay null; repeated rows give repeated results;
     equal texts give equal values; columns besides doc_id and text are ignored; an empty table gives none.
     """
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(_media, SCHEMA)
+    return map_texts(documents_of(docs), _features, ["doc_id"], ["text"], SCHEMA)

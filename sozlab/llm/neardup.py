@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, settle, spread, text_or_empty
+from .common import discard, documents_of, map_texts, settle, spread
 from .components import connected_components
 
 SHINGLE, THRESHOLD = 4, 80
@@ -38,7 +38,7 @@ ROWS_PER_PART = 1 << 17
 #: Ids that may be broadcast as a filter (16 bytes each); more are joined by shuffling.
 BROADCAST_IDS = 1 << 20
 MEMO_SIZE = 1 << 18
-SIGNED = "doc_id long, n_shingles long, digest binary, signature binary, sketch binary"
+SIGNED = "n_shingles long, digest binary, signature binary, sketch binary"
 SCANNED = "a long, b long, kind int, o int, key binary, n long, group long, part int, side int"
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -102,18 +102,16 @@ def minhashes(hashes: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
-def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for text in batch["text"]:
-            found = shingles(text)
-            low = minhashes(found)
-            digest = xxhash.xxh3_128_digest(found.tobytes())
-            signature = low[:VALUES].astype(">u4").tobytes()
-            rows.append((len(found), digest, signature, low.astype(np.uint8).tobytes()))
-        out = pd.DataFrame(rows, columns=["n_shingles", "digest", "signature", "sketch"])
-        out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-        yield out
+def _signed(texts: list[str]) -> dict[str, list]:
+    out: dict[str, list] = {c.split()[0]: [] for c in SIGNED.split(", ")}
+    for text in texts:
+        found = shingles(text)
+        low = minhashes(found)
+        out["n_shingles"].append(len(found))
+        out["digest"].append(xxhash.xxh3_128_digest(found.tobytes()))
+        out["signature"].append(low[:VALUES].astype(">u4").tobytes())
+        out["sketch"].append(low.astype(np.uint8).tobytes())
+    return out
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,8 +303,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, links: DataFrame | None) -> Data
 
 def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Settled rows with signatures, classes of equal sets with their smallest id, and the representatives' rows."""
-    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    signed = settle(ready.mapInPandas(_signed, SIGNED))
+    signed = settle(map_texts(documents_of(docs), _signed, ["doc_id"], ["text"], SIGNED))
     classes = settle(
         signed.where("doc_id is not null and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     )
@@ -327,7 +324,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     have no component and are kept; repeated rows give repeated results; rows that share a doc_id but not a text stay
     single rows of that id; columns besides doc_id and text are ignored; an empty table gives an empty result.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    texts = documents_of(docs)
     rows, classes, reps = classes_of(docs)
     count = reps.count()
     candidates, crowded = _forest(reps, count)

@@ -15,11 +15,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .bpe import encode_whole
-from .common import settle, spread, text_or_empty
+from .common import documents_of, settle, spread
 
 CAPACITY = 1024
 #: Pieces that one task packs; more pieces, more tasks.
@@ -129,22 +132,25 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, per_part: int = PIECE
 def pieces_of(docs: DataFrame, path: str, capacity: int, tail: tuple[int, ...], keep_ids: bool) -> DataFrame:
     """Every document's pieces with the checksum (and, if asked for, the bytes) of their ids."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * keep_ids
+    ddl = PIECES + ", ids binary" * keep_ids
+
+    fields = StructType.fromDDL(ddl)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(fields)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"]):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = np.concatenate([encode_whole(path, text), np.array(tail, np.uint32)]).astype("<u4")
                 for n, (start, length) in enumerate(cuts(len(ids), capacity)):
                     data = ids[start : start + length].tobytes()
                     row = (doc_id, n, start, length, zlib.crc32(data))
                     rows.append((*row, data) if keep_ids else row)
-            names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * keep_ids
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            columns = list(zip(*rows)) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return ready.mapInPandas(cut, PIECES + ", ids binary" * keep_ids)
+    return documents_of(docs).mapInArrow(cut, ddl)
 
 
 def pack_documents(

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_or_empty
+from .common import map_texts, settle, text_or_empty
 
 MIN_WORDS = 8
 #: Ends of lines and of sentences, with the white space behind them.
@@ -129,12 +129,28 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        spans = [merged(s) if s is not None else [] for s in batch["spans"]]
-        batch["text"] = [t if not s else without(t, s) for t, s in zip(batch["text"], spans)]
-        batch["spans"] = [[{"start": a, "end": b} for a, b in s] for s in spans]
-        yield batch
+def _cut(texts: list[str | None], cuts: list[list[dict] | None]) -> dict[str, list]:
+    spans = [merged(c) if c else [] for c in cuts]
+    return {
+        "text": [without(t, s) if s else t for t, s in zip(texts, spans)],
+        "spans": [[{"start": a, "end": b} for a, b in s] for s in spans],
+    }
+
+
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The table, with all its columns, whose texts have lost what ``substring_dedup`` cuts."""
+    names = docs.columns
+    row = docs.select(F.struct(*names).alias("row")).select(
+        "row",
+        F.coalesce(F.col("row.doc_id").cast("long"), F.lit(LAST)).alias("rank_id"),
+        F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))).alias("text_hash"),
+    )
+    cuts = repeats(docs, min_words).select(F.col("doc_id").alias("rank_id"), "text_hash", "spans")
+    joined = row.join(cuts, ["rank_id", "text_hash"], "left").select("row", "spans")
+
+    plain = joined.select(*[F.col(f"row.{c}").alias(c) for c in names if c != "text"], "row.text", "spans")
+    rest = [c for c in names if c != "text"]
+    return map_texts(plain, lambda t, s: {"text": _cut(t, s)["text"]}, rest, ["text", "spans"], "text string").select(*names)
 
 
 def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -153,6 +169,6 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     cuts = repeats(docs, min_words).select(F.col("doc_id").alias("rank_id"), "text_hash", "spans")
     joined = base.join(cuts, ["rank_id", "text_hash"], "left").select("doc_id", "text", "spans")
-    schema = f"doc_id long, text string, spans array<struct<{CUT}>>"
-    affected = joined.mapInPandas(_cut, schema)
+    made = f"text string, spans array<struct<{CUT}>>"
+    affected = map_texts(joined, _cut, ["doc_id"], ["text", "spans"], made)
     return affected.withColumn("n_cut", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"))

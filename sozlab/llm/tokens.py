@@ -14,18 +14,16 @@ import functools
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from . import bpe
-from .common import text_or_empty
+from .common import documents_of, map_texts
 
-SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+SCHEMA = "n_bytes long, n_tokens long, over_limit boolean"
 #: Fixed value: the pattern whose matches are the pieces of the word vocabulary; all else is dropped.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + bpe.SPACES + r"\p{L}\p{N}]+"
 #: Offsets at which a piece begins whatever stands before.
@@ -33,6 +31,8 @@ PROVEN = (
     rf"(?<=[{bpe.SPACES}\p{{N}}])(?=[^{bpe.SPACES}])|(?=\p{{N}})|(?<=\p{{L}})(?=[^{bpe.SPACES}\p{{L}}\p{{N}}])"
 )
 CHUNK, OVERLAP = 1 << 16, 1 << 10
+#: Control characters that Python counts as white space and the tokenizer does not.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 class Counter:
@@ -58,6 +58,13 @@ class Counter:
         """Tokens of normalised text that is one chunk."""
         return sum(map(self.of_word.__getitem__, text.split(" ")))
 
+    def short(self, text: str) -> int:
+        """Tokens of text that is one chunk; pieces hold no white space, so words can be taken apart first."""
+        if SEPARATORS.search(text):
+            return self.plain(self.normalised(text))
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return sum(map(self.of_word.__getitem__, text.split()))
+
     def offsets(self, text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Where the pieces of a chunk begin in the text, and how many tokens stand before each (and in all)."""
         found = [(m.start(), self.of_piece[m[0]]) for m in self.pieces.finditer(text, start, end)]
@@ -92,6 +99,8 @@ class Counter:
     def count(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
         if not text.isascii() and unassigned().search(text):
             return len(library(self.path).encode(text, add_special_tokens=False).ids)
+        if len(text) <= chunk and not (self.added and self.added.search(text)):
+            return self.short(text)
         total, at = 0, 0
         for match in self.added.finditer(text) if self.added else ():
             total += 1 + self.resynchronised(self.normalised(text[at : match.start()]), chunk, overlap)
@@ -119,9 +128,14 @@ class WordCounts(dict):
         self.pieces, self.of_piece = pieces, of_piece
 
     def __missing__(self, word: str) -> int:
-        count = sum(map(self.of_piece.__getitem__, self.pieces.findall(word)))
+        if word.isalpha():
+            count = len(self.of_piece.merger.merged(word.encode("utf-8")))
+        elif word[-1:] in bpe.STOPS and word[:-1].isalpha():
+            count = self[word[:-1]] + self.of_piece[word[-1]]
+        else:
+            count = sum(map(self.of_piece.__getitem__, self.pieces.findall(word)))
         if len(word) <= bpe.MEMO_CHARS:
-            if len(self) >= bpe.MEMO_SIZE:
+            if len(self) >= bpe.WORD_MEMO_SIZE:
                 self.clear()
             self[word] = count
         return count
@@ -161,16 +175,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     null ids and repeated rows come back as they are; columns besides doc_id and text are ignored.
     """
 
-    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            n = [counter(path).count(t) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"].to_numpy(),
-                    "n_bytes": [len(t.encode("utf-8")) for t in batch["text"]],
-                    "n_tokens": n,
-                    "over_limit": [x > limit for x in n],
-                }
-            )
-
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(counts, SCHEMA)
+    def counts(texts: list[str]) -> dict[str, list]:
+        n = [counter(path).count(t) for t in texts]
+        size = [len(t.encode("utf-8")) for t in texts]
+        return {"n_bytes": size, "n_tokens": n, "over_limit": [x > limit for x in n]}
+
+    return map_texts(documents_of(docs), counts, ["doc_id"], ["text"], SCHEMA)

@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_or_empty
+from .common import documents_of, map_texts, settle, text_or_empty
 from .trees import BoostedTrees, Isotonic
 
 FOLDS = 5
@@ -55,7 +56,7 @@ FEATURES = [
     "address_gap", "hidden", "signed_share", "stretched_share", "apart", "capital_share", "shouted_share",
     "mark_share", "exclaimed_share", "digit_share", "length",
 ]
-SCORES = "doc_id long, held_out boolean, score double, predicted int"
+SCORES = "score double, predicted int"
 
 
 def words_of(text: str) -> list[str]:
@@ -228,13 +229,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """Every row's score: doc_id, held_out, score, predicted."""
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(texts: list[str]) -> dict[str, list]:
+        found = model.scores(texts)
+        return {"score": found.tolist(), "predicted": (found >= 0.5).astype(int).tolist()}
+
+    ready = documents_of(docs).withColumn("held_out", held_out())
+    return map_texts(ready, score, ["doc_id", "held_out"], ["text"], SCORES)
+
+
+def kept(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """Rows of ``docs``, with all their columns, that are not predicted to be toxic."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = model.scores(batch["text"].tolist())
-            yield batch[["doc_id", "held_out"]].assign(score=found, predicted=(found >= 0.5).astype(np.int32))
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(model.scores(texts) < 0.5))
 
-    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_or_empty().alias("text"))
-    return ready.mapInPandas(score, SCORES)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
