@@ -24,8 +24,10 @@ from .common import documents_of, map_texts, settle, text_or_empty
 from .trees import BoostedTrees, Isotonic
 
 FOLDS = 5
-#: Labelled rows whose features are fitted at most, the first by hash; the lexicon counts all labelled rows.
-MOST_FITTED = 40_000
+#: Labelled rows that teach at most, the first by hash of their ids; with fewer, all of them.  They are broadcast.
+MOST_LABELLED = 100_000
+#: Entries that a task counts before it passes the counts on.
+MOST_COUNTED = 200_000
 LEXICON_SIZE, LEAST_TOXIC_DOCS, LEAST_ODDS = 600, 5, 2.0
 #: Share of the toxic documents that an entry is found in at least; so the candidates are few, however many documents.
 LEAST_TOXIC_SHARE = 0.005
@@ -145,15 +147,21 @@ def _matrix(learned: dict[str, float]):
 
 
 def _presence(among: frozenset | None):
-    """How many documents hold each entry (of ``among``, or any), summed within a batch."""
+    """How many documents hold each entry (of ``among``, or any), summed within a task as far as memory allows."""
+
+    def frame(counts: Counter) -> pd.DataFrame:
+        return pd.DataFrame({"entry": pd.Series(list(counts), dtype=object), "n": pd.Series(list(counts.values()), dtype="int64")})
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter[str] = Counter()
         for batch in batches:
-            counts: Counter[str] = Counter()
             for text in batch["text"]:
                 held = {e for w in set(words_of(text)) for e in entries(w)}
                 counts.update(held if among is None else held & among)
-            yield pd.DataFrame({"entry": list(counts), "n": list(counts.values())}, columns=["entry", "n"])
+                if len(counts) > MOST_COUNTED:
+                    yield frame(counts)
+                    counts.clear()
+        yield frame(counts)
 
     return counted
 
@@ -164,14 +172,14 @@ def held_out(doc_id="doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct labelled texts outside the held-out fold: toxic, share (0-4 lexicon, 5-7 trees, 8-9 calibration), text."""
+    """Labelled texts outside the held-out fold: toxic, share (0-4 lexicon, 5-7 trees, 8-9 calibration), text.
+
+    Texts are not moved: at most MOST_LABELLED labels go to where the documents are.  Equal texts are in one share.
+    """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
-    taught = known.where(~held_out()).distinct()
-    joined = docs.select("doc_id", text_or_empty().alias("text")).join(taught, "doc_id")
-    key = F.xxhash64("text", F.lit(5))
-    return joined.select("toxic", key.alias("key"), "text").dropDuplicates(["toxic", "key"]).withColumn(
-        "share", F.pmod("key", F.lit(10)).cast("int")
-    )
+    taught = known.where(~held_out()).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "toxic").limit(MOST_LABELLED).distinct()
+    joined = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(taught), "doc_id")
+    return joined.select("toxic", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(10)).cast("int").alias("share"), "text")
 
 
 def learned_lexicon(rows: DataFrame) -> dict[str, float]:
@@ -215,8 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Learn from labelled rows outside the held-out fold; without both labels every score is the labels' mean (or 0)."""
     rows = settle(training_rows(docs, labels))
     learned = learned_lexicon(rows)
-    sample = rows.where("share >= 5").orderBy("key").limit(MOST_FITTED)
-    got = sample.select("toxic", "share", "text").mapInPandas(_matrix(learned), "toxic int, share int, x array<double>").toPandas()
+    got = rows.where("share >= 5").select("toxic", "share", "text").mapInPandas(_matrix(learned), "toxic int, share int, x array<double>").toPandas()
     y = got["toxic"].to_numpy(float)
     fitted = (got["share"] < 8).to_numpy()
     if len(set(y[fitted])) < 2 or len(set(y[~fitted])) < 2:
@@ -252,7 +259,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all rows by a model learnt from the labelled ones.
 
     Null texts are empty texts and are scored as such; null ids come back as null and are not held out; labels other
-    than 0 and 1 and labels without id teach nothing; repeated labelled texts teach once; repeated rows give repeated
+    than 0 and 1 and labels without id teach nothing; repeated labelled texts teach as often; repeated rows give repeated
     results; columns besides doc_id, text and toxic are ignored; an empty table gives an empty result.
     """
     return scored(docs, fit(docs, labels))
