@@ -25,18 +25,21 @@ SENTENCE_BREAK = (
 
 def with_offsets(pieces: Column, fields=None) -> Column:
     """Pieces that tile a text as structs with half-open byte offsets; ``fields`` adds columns of a piece."""
-    ends = F.aggregate(
-        pieces,
-        F.array(F.lit(0)),
-        lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.octet_length(p))),
-    )
     extra = fields or (lambda p: [])
-    return F.transform(
+
+    def piece(p: Column, at: Column) -> Column:
+        return F.struct(p.alias("text"), at.alias("start"), (at + F.octet_length(p)).alias("end"), *extra(p))
+
+    kind = "text:string,start:int,end:int" + (",type:string" if fields else "")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<{kind}>>").alias("out"))
+    folded = F.aggregate(
         pieces,
-        lambda p, i: F.struct(
-            p.alias("text"), F.get(ends, i).alias("start"), F.get(ends, i + 1).alias("end"), *extra(p)
+        start,
+        lambda s, p: F.struct(
+            (s["at"] + F.octet_length(p)).alias("at"), F.concat(s["out"], F.array(piece(p, s["at"]))).alias("out")
         ),
     )
+    return folded["out"]
 
 
 def token_texts(text: Column) -> Column:
