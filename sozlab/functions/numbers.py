@@ -133,7 +133,7 @@ def parse_words(text: Column) -> Column:
         group = F.greatest(state["group"], one)
         grown = F.when(value >= 1000, zero).when(value == 100, F.try_multiply(group, value)).when(value > 0, state["group"] + value)
         total = F.when(value < 1000, state["total"]).otherwise(F.try_add(state["total"], F.try_multiply(group, value)))
-        return F.struct(F.when(total <= MOST, total).alias("total"), grown.alias("group"))
+        return F.struct(F.when((total <= MOST) & grown.isNotNull(), total).alias("total"), grown.alias("group"))
 
     found = F.aggregate(rest, start, step, lambda s: F.when(s["total"].isNotNull(), F.try_add(s["total"], s["group"])))
     size = F.when((F.size(rest) == 1) & (F.get(rest, F.lit(0)) == ONES[0]), zero).when(F.size(rest) > 0, found)
