@@ -14,10 +14,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 WORKING_PARTITION_ROWS = 4096
+#: Texts that go to a Python worker at once; a batch of long ones still fits beside the executor's heap.
+BATCH_ROWS = 500
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read through Spark so that any store works."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -83,6 +90,14 @@ def map_texts(frame: DataFrame, compute: Callable[..., dict[str, list]], kept: l
     return frame.select(*dict.fromkeys([*kept, *read])).mapInArrow(mapped, schema)
 
 
+def spread_out(frame: DataFrame) -> DataFrame:
+    """The rows of a table of fewer files than cores over all cores; larger tables stay as they are read."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    if frame.rdd.getNumPartitions() <= 2 * cores and len(frame.inputFiles()) < cores:
+        return frame.repartition(cores)
+    return frame
+
+
 def documents_of(docs: DataFrame) -> DataFrame:
     """doc_id as long and text, null as empty, of a table whatever else it holds."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return spread_out(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")))

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_or_empty
+from .common import documents_of, settle
 
 #: Phrases and labels that are always reported.
 BASE = {
@@ -88,7 +88,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     empty labels and score 0; null ids and repeated rows come back as they are; columns besides doc_id and text are
     ignored; an empty table gives an empty result.
     """
-    cut = docs.select("doc_id", words_of(text_or_empty()).alias("words")).select(
+    cut = documents_of(docs).select("doc_id", words_of(F.col("text")).alias("words")).select(
         "doc_id", "words", F.array_intersect("words", _literal(VOCABULARY)).alias("found")
     )
     complete = [F.size(F.array_except(_literal(sorted(set(p.split()))), "found")) == 0 for p in PHRASES]

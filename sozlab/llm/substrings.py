@@ -1,7 +1,7 @@
 """Substring deduplication by hashing lines and the sentences inside them.
 
-A unit begins at every line or sentence and runs over whole sentences until it has ``min_words`` words; a shorter rest
-of its line joins it.  Units are normalised (case, punctuation and white space do not count) and hashed to 128 bits.
+A unit begins at every line or sentence and runs over whole sentences until it has ``min_words`` words; where the last
+sentence of a line is shorter, a unit also ends there.  Units are normalised (case, punctuation and white space do not count) and hashed to 128 bits.
 Digests are grouped globally; the earliest ranked occurrence of each stays and the others are cut out of their texts,
 with the original offsets of what was cut.  As units begin anywhere, a passage that repeats in the middle of other text
 is found by its inner sentences.
@@ -17,9 +17,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, settle, text_or_empty
+from .common import documents_of, map_texts, settle, text_or_empty
 
 MIN_WORDS = 8
+#: Units that a worker gathers before it passes them on (and those of one more text).
+MOST_ROWS = 10_000
 #: Ends of lines and of sentences, with the white space behind them.
 ENDS = re.compile(r"[.!?…]+\s+|\s*\n\s*")
 NOT_WORD = re.compile(r"[\W_]+")
@@ -40,27 +42,30 @@ def sentences(text: str) -> list[tuple[int, int, bool, str]]:
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
-    """(start, end, 128-bit digest) of the unit that begins at each sentence, where the text has words enough."""
+    """(start, end, 128-bit digest) of the units of a text, where it has words enough.
+
+    One begins at each sentence; one more ends at the end of a line whose last sentence is too short for a unit.
+    """
     parts = sentences(text)
     sizes = [p[3].count(" ") + 1 if p[3] else 0 for p in parts]
-    rest, left = [0] * len(parts), 0  # words from each sentence to the end of its line
-    for i in range(len(parts) - 1, -1, -1):
-        left = sizes[i] + (0 if parts[i][2] else left)
-        rest[i] = left
-    out = []
+    runs = []
     for i, size in enumerate(sizes):
-        if not size:
-            continue
         j = i
         while size < min_words and j + 1 < len(parts):
             j += 1
             size += sizes[j]
-        if size < min_words:
-            break
-        if not parts[j][2] and rest[j + 1 if j + 1 < len(parts) else j] < min_words:
-            while not parts[j][2] and j + 1 < len(parts):
-                j += 1
-        words = parts[i][3] if i == j else " ".join(p[3] for p in parts[i : j + 1] if p[3])
+        if sizes[i] and size >= min_words:
+            runs.append((i, j))
+        if parts[i][2] and sizes[i] < min_words:
+            j, size = i, sizes[i]
+            while size < min_words and j and not parts[j - 1][2]:
+                j -= 1
+                size += sizes[j]
+            if size >= min_words:
+                runs.append((j, i))
+    out = []
+    for i, j in dict.fromkeys(runs):
+        words = " ".join(p[3] for p in parts[i : j + 1] if p[3])
         out.append((parts[i][0], parts[j][1], xxhash.xxh3_128_intdigest(words.encode("utf-8"))))
     return out
 
@@ -76,6 +81,9 @@ def _units(min_words: int):
         for batch in batches:
             rows = []
             for doc_id, text_hash, text in zip(batch["doc_id"], batch["text_hash"], batch["text"]):
+                if len(rows) > MOST_ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
                 seen = set()
                 for start, end, digest in units(text, min_words):
                     high, low = _signed(digest >> 64), _signed(digest & ((1 << 64) - 1))
@@ -108,11 +116,9 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Spans to cut: (doc_id, text_hash, spans), for documents that have any.  A missing doc_id is read as the last."""
     found = settle(
-        docs.select(
-            F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"),
-            F.xxhash64(text_or_empty()).alias("text_hash"),
-            text_or_empty().alias("text"),
-        ).mapInPandas(_units(min_words), UNITS)
+        documents_of(docs)
+        .select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+        .mapInPandas(_units(min_words), UNITS)
     )
     # one row per digest and task reaches a reducer, so a hot line is counted before it moves
     earliest = (
