@@ -31,17 +31,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id."""
+    common.bounded_batches(spark)
     decided = neardup.near_duplicates(docs)
     return _without(docs, common.settle(decided.where("not kept").select("doc_id").distinct()))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines and passages that an earlier document holds; n_chars follows the text."""
+    common.bounded_batches(spark)
     return substrings.deduplicated(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all remaining documents with their places in sequences of at most 1024 tokens."""
+    common.bounded_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, tail=(2,))
 
 
