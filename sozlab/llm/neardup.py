@@ -37,29 +37,13 @@ SKETCH_DEVIATIONS = 5
 ROWS_PER_PART = 1 << 17
 #: Ids that may be broadcast as a filter (16 bytes each); more are joined by shuffling.
 BROADCAST_IDS = 1 << 20
-MEMO_SIZE = 1 << 18
+#: Shingles whose values under all hash functions are held at once.
+STRIP = 512
 SIGNED = "n_shingles long, digest binary, signature binary, sketch binary"
 SCANNED = "a long, b long, kind int, o int, key binary, n long, group long, part int, side int"
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 48:
-            if len(self) >= MEMO_SIZE:
-                self.clear()
-            self[word] = value
-        return value
-
-
-@functools.lru_cache(maxsize=1)
-def word_hashes() -> WordHashes:
-    return WordHashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: nearby inputs, unrelated outputs."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -75,7 +59,7 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     words = text.encode("utf-8").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     width = min(size, len(words))
     n = len(words) - width + 1
     rolled = np.full(n, np.uint64(width), np.uint64)
@@ -93,9 +77,8 @@ def _multipliers() -> np.ndarray:
 def minhashes(hashes: np.ndarray) -> np.ndarray:
     """The SKETCH smallest values of a set under as many hash functions (upper 32 bits)."""
     best = np.full(SKETCH, MASK, np.uint64)
-    step = max(1, (1 << 19) // SKETCH)
-    for at in range(0, len(hashes), step):
-        scrambled = _multipliers()[:, None] * hashes[None, at : at + step]
+    for at in range(0, len(hashes), STRIP):
+        scrambled = _multipliers()[:, None] * hashes[None, at : at + STRIP]
         scrambled ^= scrambled >> np.uint64(29)
         scrambled *= np.uint64(0xD6E8FEB86659FD93)
         np.minimum(best, scrambled.min(axis=1), out=best)
