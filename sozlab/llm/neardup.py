@@ -7,8 +7,8 @@ neighbours in an order that share at least the shortest prefix: in a region with
 crowded region only those with the longest common prefix, so the depth adapts by itself.  Sketches drop candidates that
 cannot reach the threshold, and what is left is verified on the full sets.
 
-Crowded regions are scanned again after components are known: each class there meets its nearest neighbours *of other
-components*, until a scan finds no new link.
+Classes of crowded regions may have more neighbours than a scan looks at.  Once components are known, these classes meet
+in an exact prefix-filter join over their shingles, which leaves out pairs inside one component.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ from .components import connected_components
 SHINGLE, THRESHOLD = 4, 80
 #: Sorted orders, signature values by which each sorts, and values that neighbours share at least.
 ORDERS, DEPTH, SHORTEST = 16, 8, 2
-#: Sorted neighbours on each side.
+#: Sorted neighbours on each side; classes that may have more are joined exactly.
 REACH = 6
+#: Rows of each side of a shingle that one task compares.
+BLOCK = 1024
 VALUES, SKETCH = 64, 256
 #: Equal sketch values below which a pair at the threshold is five standard deviations away.
 SKETCH_DEVIATIONS = 5
@@ -284,6 +286,81 @@ def _linked(pairs: DataFrame, texts: DataFrame, links: DataFrame | None) -> Data
     return links.union(_verified(rest, texts)) if rest.limit(1).count() else links
 
 
+def _prefixes(crowd: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Settled rows (token, id, n, at, group) of the shingles by which classes of different components can meet first.
+
+    Shingles stand in one order for all: those of a single component, which no such pair shares, then rare ones first.  A
+    pair at the threshold shares one within the first n - ceil(0.8 n) + 1 places of both.
+    """
+    ids = settle(crowd.select(F.col("rep").alias("doc_id")).distinct())
+    group = _grouped(crowd, labels).select(F.col("rep").alias("id"), "group").dropDuplicates(["id"])
+    sets = only(texts, ids, "doc_id").mapInPandas(_sets, "id long, members array<long>").dropDuplicates(["id"])
+    held = settle(
+        sets.join(group, "id").select("id", F.size("members").alias("n"), "group", F.explode("members").alias("token"))
+    )
+    counted = held.groupBy("token").agg(F.count("*").alias("df"), F.min("group").alias("lo"), F.max("group").alias("hi"))
+    shared = settle(counted.where("lo != hi").select("token", "df"))
+    few = shared.count() <= BROADCAST_IDS
+    ordered = (
+        held.join(F.broadcast(shared) if few else shared, "token")
+        .groupBy("id", "n", "group")
+        .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+        .withColumn("before", F.col("n") - F.size("tokens"))
+        .withColumn("places", F.expr(f"int(floor(n * {100 - THRESHOLD} / 100)) + 1 - before"))
+        .where("places > 0")
+    )
+    rows = ordered.select("id", "n", "group", "before", F.posexplode(F.expr("slice(tokens, 1, places)")).alias("i", "t"))
+    out = settle(rows.select(F.col("t.token").alias("token"), "id", "n", (F.col("before") + F.col("i")).alias("at"), "group"))
+    discard(texts.sparkSession, ids, held, shared)
+    return out
+
+
+def _blocks(left: DataFrame, right: DataFrame, lefts: str, rights: str) -> DataFrame:
+    """Pairs of rows of one shingle that may reach the threshold; hot shingles are dealt out in blocks of both sides."""
+    over, t = 100 + THRESHOLD, THRESHOLD
+    wide = {x: f"int(ceil({n} / {BLOCK}))" for x, n in (("l", lefts), ("r", rights))}
+    own = {x: f"int(pmod(xxhash64(id), {wide[x]}))" for x in wide}
+    x = left.select("token", F.expr(own["l"]).alias("s"), F.explode(F.expr(f"sequence(0, {wide['r']} - 1)")).alias("t"),
+                    *[F.col(c).alias(f"l_{c}") for c in ("id", "n", "at", "group")])
+    y = right.select("token", F.explode(F.expr(f"sequence(0, {wide['l']} - 1)")).alias("s"), F.expr(own["r"]).alias("t"),
+                     *[F.col(c).alias(f"r_{c}") for c in ("id", "n", "at", "group")])
+    needed = f"{t} * (l_n + r_n)"
+    fits = F.expr(
+        f"l_group != r_group and l_n <= r_n and l_n * 100 >= r_n * {t}"
+        f" and (l_n - l_at) * {over} >= {needed} and (r_n - r_at) * {over} >= {needed}"
+    )
+    return x.join(y, ["token", "s", "t"]).where(fits).select(
+        F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")
+    )
+
+
+def _met(crowd: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """All pairs of ``crowd`` in different components that can reach the threshold, and some that do not.
+
+    In each shingle the rows of the component that has most of them meet only those of others.
+    """
+    rows = _prefixes(crowd, texts, labels)
+    # the smaller set of a pair has the shingle among still earlier places
+    rows = rows.withColumn("early", F.expr(f"at * {100 + THRESHOLD} <= n * {100 - THRESHOLD}"))
+    sizes = rows.groupBy("token", "group").agg(F.count("*").alias("n"), F.count_if("early").alias("e"))
+    buckets = settle(
+        sizes.groupBy("token")
+        .agg(F.max(F.struct("n", "group", "e")).alias("most"), F.sum("n").alias("total"), F.sum("e").alias("early_all"),
+             F.count("*").alias("groups"))
+        .where("groups > 1 and early_all > 0")
+        .select("token", "total", "early_all", F.col("most.n").alias("most_n"), F.col("most.e").alias("most_e"),
+                F.col("most.group").alias("most_group"))
+    )
+    few = buckets.count() <= BROADCAST_IDS // 4
+    marked = settle(rows.join(F.broadcast(buckets) if few else buckets, "token").withColumn("main", F.expr("group = most_group")))
+    early = marked.where("early")
+    others = _blocks(early.where("not main"), marked.where("early_all > most_e"), "(early_all - most_e)", "total")
+    main = _blocks(early.where("main"), marked.where("not main and most_e > 0"), "most_e", "(total - most_n)")
+    found = settle(others.union(main).distinct())
+    discard(texts.sparkSession, rows, buckets, marked)
+    return found
+
+
 def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Settled rows with signatures, classes of equal sets with their smallest id, and the representatives' rows."""
     signed = settle(map_texts(documents_of(docs), _signed, ["doc_id"], ["text"], SIGNED))
@@ -315,15 +392,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = _linked(pairs, texts, None)
     labels = connected_components(links)
     crowd = settle(reps.join(crowded, "rep", "left_semi"))
-    size = crowd.count()
-    while size:
-        candidates, _ = _forest(_grouped(crowd, labels), size)
-        fresh = settle(_promising(_across(candidates, labels), reps))
-        before = links.count()
-        links = _linked(fresh, texts, links) if fresh.limit(1).count() else links
-        if links.count() == before:
-            break
-        labels = connected_components(links)
+    if crowd.limit(1).count():
+        fresh = _met(crowd, texts, labels).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        fresh = settle(_promising(fresh, reps))
+        if fresh.limit(1).count():
+            links = _linked(fresh, texts, links)
+            labels = connected_components(links)
     known = classes.join(labels, F.col("rep") == F.col("id"), "left").select(
         "digest", F.coalesce("component", "rep").alias("component")
     )
