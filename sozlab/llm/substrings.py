@@ -5,6 +5,9 @@ sentence of a line is shorter, a unit also ends there.  Units are normalised (ca
 Digests are grouped globally; the earliest ranked occurrence of each stays and the others are cut out of their texts,
 with the original offsets of what was cut.  As units begin anywhere, a passage that repeats in the middle of other text
 is found by its inner sentences.
+
+Further units ignore punctuation: their borders are words that a window minimum of word-pair hashes picks, so that every
+50 words that repeat hold a unit, whatever ends or lines stand between them.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,6 +28,9 @@ MIN_WORDS = 8
 MOST_ROWS = 10_000
 #: Ends of lines and of sentences, with the white space behind them.
 ENDS = re.compile(r"[.!?…]+\s+|\s*\n\s*")
+WORD = re.compile(r"[^\W_]+")
+#: Neighbouring word pairs of which one is a border.
+WINDOW = 20
 NOT_WORD = re.compile(r"[\W_]+")
 UNITS = "doc_id long, text_hash long, h1 long, h2 long, start int, end int, again boolean"
 CUT = "start:int,end:int"
@@ -41,10 +48,43 @@ def sentences(text: str) -> list[tuple[int, int, bool, str]]:
     return out
 
 
+def borders(hashes: np.ndarray) -> np.ndarray:
+    """Places of words that are a border: where the pair hash is the least (the last such) of some WINDOW pairs."""
+    if len(hashes) <= WINDOW:
+        return np.empty(0, np.int64)
+    pairs = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]
+    pairs = (pairs ^ (pairs >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    seen = np.lib.stride_tricks.sliding_window_view(pairs[::-1], WINDOW)
+    return np.unique(len(pairs) - 1 - (np.arange(len(seen)) + seen.argmin(axis=1)))
+
+
+def word_units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
+    """(start, end, 128-bit digest) of runs of words from a border to the first border ``min_words`` on.
+
+    Of runs with equal words that overlap, the first stays alone.
+    """
+    places = [m.span() for m in WORD.finditer(text)]
+    words = [text[a:b].lower() for a, b in places]
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8")) for w in words), np.uint64, len(words))
+    cuts = borders(hashes)
+    out, last = [], {}
+    for i, j in zip(cuts.tolist(), np.searchsorted(cuts, cuts + min_words).tolist()):
+        if j == len(cuts):
+            break
+        j = int(cuts[j])
+        # another seed: such a unit never equals one of whole sentences
+        digest = xxhash.xxh3_128_intdigest(" ".join(words[i:j]).encode("utf-8"), seed=1)
+        if last.get(digest, 0) <= i:
+            out.append((places[i][0], places[j][0], digest))
+            last[digest] = j
+    return out
+
+
 def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
     """(start, end, 128-bit digest) of the units of a text, where it has words enough.
 
-    One begins at each sentence; one more ends at the end of a line whose last sentence is too short for a unit.
+    One begins at each sentence; one more ends at the end of a line whose last sentence is too short for a unit; those
+    of ``word_units`` follow.
     """
     parts = sentences(text)
     sizes = [p[3].count(" ") + 1 if p[3] else 0 for p in parts]
@@ -67,7 +107,7 @@ def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
     for i, j in dict.fromkeys(runs):
         words = " ".join(p[3] for p in parts[i : j + 1] if p[3])
         out.append((parts[i][0], parts[j][1], xxhash.xxh3_128_intdigest(words.encode("utf-8"))))
-    return out
+    return out + word_units(text, min_words)
 
 
 def _signed(value: int) -> int:
