@@ -146,7 +146,6 @@ def neighbours(rows: pd.DataFrame, fresh: int) -> tuple[pd.DataFrame, np.ndarray
         pairs.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])])[:, fit & (ids[i] != ids[j])])
         if back == REACH - 1:
             crowded = np.unique(np.r_[ids[i[near]], ids[j[near]]])
-    # met from the other side: rows before the start of a run of another group
     found = np.unique(np.concatenate(pairs, axis=1), axis=1)
     return pd.DataFrame({"a": found[0], "b": found[1]}), np.asarray(crowded)
 

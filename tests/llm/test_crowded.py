@@ -53,3 +53,13 @@ def test_exact_pairs_in_blocks(spark, monkeypatch, block):
     template = [f"t{i}" for i in range(90)]
     docs = _texts([template + [f"w{x}" for x in rng.integers(0, 40, rng.integers(4, 16))] for _ in range(300)])
     assert _got(spark, docs) == _components(docs)
+
+
+def test_links_out_of_a_component_longer_than_a_batch(spark):
+    # 600 near copies of one text, and pairs of another component that only meet some of them
+    base = [f"t{i}" for i in range(120)]
+    words = [base + [f"m{i}"] for i in range(600)]
+    words += [base[: 92 + i % 20] + [f"q{j}" for j in range(20)] + [f"e{i}"] for i in range(60)]
+    order = np.random.default_rng(6).permutation(len(words))
+    docs = _texts([words[i] for i in order])
+    assert _got(spark, docs) == _components(docs)
