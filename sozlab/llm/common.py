@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType
 WORKING_PARTITION_ROWS = 4096
 #: Texts that go to a Python worker at once; a batch of long ones still fits beside the executor's heap.
 BATCH_ROWS = 500
+#: A key is hot if it holds a part in so many of all rows.
+HOT_KEYS = 10_000
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -31,12 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests, a laptop) a temporary folder takes its place.
+    Where the session leaves it unset, a temporary folder takes its place if driver and executors are one process (tests,
+    a laptop); on a cluster that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
@@ -68,6 +73,21 @@ def spread(rows: int, per_part: int = WORKING_PARTITION_ROWS, least: int = 1) ->
     return max(least, math.ceil(rows / per_part))
 
 
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "left") -> DataFrame:
+    """``left`` beside the settled rows of ``right``, which are unique by ``keys``; ``weight`` is their number in ``left``.
+
+    Keys that hold a part in HOT_KEYS of all rows, so at most HOT_KEYS of them, are broadcast; the others meet by
+    shuffling.  No task gets the rows of a hot key.
+    """
+    heavy = f"{weight} * {HOT_KEYS} >= {max(total, 1000 * HOT_KEYS)}"
+    hot = right.where(heavy).drop(weight)
+    if not hot.limit(1).count():
+        return left.join(right.drop(weight), keys, how)
+    few = F.broadcast(hot)
+    rest = left.join(few.select(*keys), keys, "left_anti").join(right.where(f"not ({heavy})").drop(weight), keys, how)
+    return left.join(few, keys).unionByName(rest)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -4,11 +4,13 @@ Every text becomes its set of word shingles.  Equal sets collapse into one class
 signature; the forest is several sorted orders of the classes, each by its own run of signature values.  Sorting is a
 range partitioning of the whole key, so a region of any size spreads over as many tasks as it needs.  Candidates are
 neighbours in an order that share at least the shortest prefix: in a region with few classes that is everyone, in a
-crowded region only those with the longest common prefix, so the depth adapts by itself.  Sketches drop candidates that
-cannot reach the threshold, and what is left is verified on the full sets.
+crowded region only the next row, which has the longest common prefix, so the depth adapts by itself.  Sketches drop
+candidates that cannot reach the threshold, and what is left is verified on the full sets.
 
-Classes of crowded regions may have more neighbours than a scan looks at.  Once components are known, these classes meet
-in an exact prefix-filter join over their shingles, which leaves out pairs inside one component.
+Links between next rows make one component of a tight group, however large.  What classes of crowded regions may link
+beyond that is found exactly: they meet in a prefix-filter join over their shingles, which leaves out pairs inside one
+component.  Pairs of rare shingles are emitted and verified; the rows of a frequent shingle are compared in place, block
+by block, and only give links that span the components among them.
 """
 
 from __future__ import annotations
@@ -23,16 +25,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, documents_of, map_texts, settle, spread
+from .common import discard, documents_of, join_unique, map_texts, settle, spread, text_or_empty
 from .components import connected_components
 
 SHINGLE, THRESHOLD = 4, 80
 #: Sorted orders, signature values by which each sorts, and values that neighbours share at least.
 ORDERS, DEPTH, SHORTEST = 16, 8, 2
-#: Sorted neighbours on each side; classes that may have more are joined exactly.
+#: Neighbours that a row of a region has at most before the region counts as crowded and its classes are joined exactly.
 REACH = 6
-#: Rows of each side of a shingle that one task compares.
-BLOCK = 1024
+#: Rows of a shingle up to which its pairs are emitted; those of more frequent ones are compared in place.
+RARE = 64
+#: Rows of each side of a frequent shingle that one task compares, and shingles that it lays out at once.
+BLOCK, LAID_OUT = 1024, 2048
+#: Shingles of all rows of such a side.
+BLOCK_SHINGLES = 1 << 22
 VALUES, SKETCH = 64, 256
 #: Equal sketch values below which a pair at the threshold is five standard deviations away.
 SKETCH_DEVIATIONS = 5
@@ -42,7 +48,8 @@ BROADCAST_IDS = 1 << 20
 #: Shingles whose values under all hash functions are held at once.
 STRIP = 512
 SIGNED = "n_shingles long, digest binary, signature binary, sketch binary"
-SCANNED = "a long, b long, kind int, o int, key binary, n long, group long, part int, side int"
+SCANNED = "a long, b long, kind int, o int, key binary, n long, part int, side int"
+LAST = (1 << 63) - 1
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -102,8 +109,8 @@ def _signed(texts: list[str]) -> dict[str, list]:
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         ids, found, held = [], [], 0
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
-            ids.append(doc_id)
+        for class_id, text in zip(batch["id"], batch["text"]):
+            ids.append(class_id)
             found.append(shingles(text).view(np.int64))
             held += len(found[-1])
             if held > 1 << 20:
@@ -117,37 +124,30 @@ def _keys(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), ">u4").reshape(len(column), DEPTH)
 
 
-def _alike(o: np.ndarray, keys: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether rows i and j share the shortest prefix of an order, and whether their sizes allow the threshold too."""
-    near = (o[i] == o[j]) & (keys[i, :SHORTEST] == keys[j, :SHORTEST]).all(axis=1)
-    small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-    return near, near & (small * 100 >= large * THRESHOLD)
-
-
 def neighbours(rows: pd.DataFrame, fresh: int) -> tuple[pd.DataFrame, np.ndarray]:
     """Candidate pairs whose later row is at ``fresh`` or after, and ids in crowded regions, of sorted rows.
 
-    Rows of one group (known to belong together) are no candidates; a row meets the nearest REACH rows of other groups.
+    A row meets the one before it and, unless its region is crowded, the REACH rows before it.  Pairs at a greater
+    distance lie in a crowded region, and the ids of both are among those of crowded regions.
     """
     o, keys = rows["o"].to_numpy(), _keys(rows["key"])
-    n, ids, group = (rows[c].to_numpy() for c in ("n", "id", "group"))
+    n, ids = rows["n"].to_numpy(), rows["id"].to_numpy()
     at = np.arange(fresh, len(rows))
-    # the last row before each row that is of another group
-    differs = np.r_[True, group[1:] != group[:-1]]
-    run = np.maximum.accumulate(np.where(differs, np.arange(len(rows)), 0))
-    starts = run[at] - 1
-    pairs, crowded = [], []
-    for back in range(REACH):
-        j = starts - back
-        ok = j >= 0
-        i, j = at[ok], j[ok]
-        near, fit = _alike(o, keys, n, i, j)
-        fit &= group[i] != group[j]
-        pairs.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])])[:, fit & (ids[i] != ids[j])])
-        if back == REACH - 1:
-            crowded = np.unique(np.r_[ids[i[near]], ids[j[near]]])
+    near = np.zeros((REACH + 1, len(at)), bool)
+    for back in range(1, REACH + 1):
+        there = at >= back
+        i = at[there]
+        near[back, there] = (o[i] == o[i - back]) & (keys[i, :SHORTEST] == keys[i - back, :SHORTEST]).all(axis=1)
+    full = near[REACH]
+    pairs = []
+    for back in range(1, REACH + 1):
+        i = at[near[back] & ~full] if back > 1 else at[near[back]]
+        j = i - back
+        fit = (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * THRESHOLD) & (ids[i] != ids[j])
+        pairs.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])])[:, fit])
     found = np.unique(np.concatenate(pairs, axis=1), axis=1)
-    return pd.DataFrame({"a": found[0], "b": found[1]}), np.asarray(crowded)
+    crowded = np.unique(np.r_[ids[at[full]], ids[at[full] - REACH]])
+    return pd.DataFrame({"a": found[0], "b": found[1]}), crowded
 
 
 def _frame(pairs: pd.DataFrame, crowded: np.ndarray) -> pd.DataFrame:
@@ -162,18 +162,21 @@ def _edge(rows: pd.DataFrame, side: int, part: int) -> pd.DataFrame:
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One sorted partition: candidates, crowded ids, and the rows at both ends for the partitions next to it."""
-    part, carried, first = TaskContext.get().partitionId(), None, True
+    """One sorted partition: candidates, crowded ids, and the rows at both ends for the partitions next to it.
+
+    A partition of fewer than REACH rows gives all of them as its first end, and no last one.
+    """
+    part, carried, head = TaskContext.get().partitionId(), None, 0
     for batch in batches:
         if not len(batch):
             continue
-        if first:
-            yield _edge(batch.head(REACH), 0, part)
-            first = False
+        if head < REACH:
+            yield _edge(batch.head(REACH - head), 0, part)
+            head += min(len(batch), REACH - head)
         rows = batch if carried is None else pd.concat([carried, batch], ignore_index=True)
         yield _frame(*neighbours(rows, 0 if carried is None else len(carried)))
         carried = rows.tail(REACH)
-    if carried is not None:
+    if head == REACH:
         yield _edge(carried, 1, part)
 
 
@@ -183,37 +186,38 @@ def _scan_border(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _orders(classes: DataFrame) -> DataFrame:
-    """A row per class and sorted order: o, key (its run of signature values, cyclically), id, n, group."""
+    """A row per class and sorted order: o, key (its run of signature values, cyclically), id, n."""
     stride = VALUES // ORDERS * 4
     turned = F.concat("signature", "signature")
     return classes.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1)))).select(
         "o",
         F.substring(turned, F.col("o") * stride + 1, F.lit(DEPTH * 4)).alias("key"),
-        F.col("rep").alias("id"),
+        "id",
         F.col("n_shingles").alias("n"),
-        "group",
     )
 
 
 def _forest(classes: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs and crowded ids of all sorted orders of ``classes`` (rep, n_shingles, signature, group)."""
+    """Candidate pairs and crowded ids of all sorted orders of ``classes`` (id, n_shingles, signature)."""
     rows = _orders(classes)
     parts = spread(count * ORDERS, ROWS_PER_PART)
     ordered = rows.repartitionByRange(parts, "o", "key", "id").sortWithinPartitions("o", "key", "id")
     scanned = settle(ordered.mapInPandas(_scan, SCANNED))
     edges = scanned.where("kind = 2")
-    # neighbouring partitions that have rows; a few numbers for each partition
-    numbered = edges.select("part").distinct().withColumn("at", F.row_number().over(Window.orderBy("part")))
+    # a border lies between two partitions with a last end; a few numbers for each partition
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = edges.groupBy("part").agg(F.max("side").alias("full"))
+    numbered = ends.select("part", F.coalesce(F.sum("full").over(before), F.lit(0)).alias("at"))
     border = (
         edges.join(F.broadcast(numbered), "part")
-        .select(F.col("a").alias("id"), "o", "key", "n", "group", (F.col("at") + F.col("side")).alias("border"))
+        .select(F.col("a").alias("id"), "o", "key", "n", (F.col("at") + F.col("side")).alias("border"))
         .groupBy("border")
         .applyInPandas(_scan_border, SCANNED)
     )
     found = scanned.where("kind < 2").union(border.where("kind < 2")).select("a", "b", "kind").distinct()
     found = settle(found)
     discard(classes.sparkSession, scanned)
-    return found.where("kind = 0").select("a", "b"), found.where("kind = 1").select(F.col("a").alias("rep"))
+    return found.where("kind = 0").select("a", "b"), found.where("kind = 1").select(F.col("a").alias("id"))
 
 
 def _least_equal() -> int:
@@ -226,82 +230,55 @@ def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         left = np.frombuffer(b"".join(batch["sa"]), np.uint8).reshape(-1, SKETCH)
         right = np.frombuffer(b"".join(batch["sb"]), np.uint8).reshape(-1, SKETCH)
-        equal = (left == right).sum(axis=1)
-        yield batch.loc[equal >= _least_equal(), ["a", "b"]].assign(equal=equal[equal >= _least_equal()])
+        yield batch.loc[(left == right).sum(axis=1) >= _least_equal(), ["a", "b"]]
 
 
 def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose sketches agree enough, with the number of equal values."""
-    left = classes.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
-    right = classes.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").mapInPandas(_similar, "a long, b long, equal long")
+    """Pairs whose sketches agree enough."""
+    left = classes.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
+    right = classes.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
+    return settle(pairs.join(left, "a").join(right, "b").mapInPandas(_similar, "a long, b long"))
 
 
-def only(frame: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows whose id is among ``ids`` (settled, distinct): by broadcast while they are few, else by shuffling."""
+def only(frame: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of ``frame`` beside those of ``ids`` (settled, distinct): by broadcast while they are few, else by shuffling."""
     few = ids.count() <= BROADCAST_IDS
-    return frame.join(F.broadcast(ids) if few else ids, column, "left_semi")
+    return frame.join(F.broadcast(ids) if few else ids, columns)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _members(ids: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Settled (id, members) of the classes ``ids`` (distinct), from the texts of the rows that stand for them."""
+    needed = settle(classes.join(ids, "id", "left_semi").select("id", "rank_id", "text_hash"))
+    sets = settle(only(texts, needed, ["rank_id", "text_hash"]).mapInPandas(_sets, "id long, members array<long>").dropDuplicates(["id"]))
+    discard(texts.sparkSession, needed)
+    return sets
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of settled pairs ``(a, b)`` those whose full shingle sets reach the threshold."""
-    needed = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = settle(only(texts, needed, "doc_id").mapInPandas(_sets, "id long, members array<long>").dropDuplicates(["id"]))
     left = sets.select(F.col("id").alias("a"), F.col("members").alias("ma"))
     right = sets.select(F.col("id").alias("b"), F.col("members").alias("mb"))
     joined = pairs.join(left, "a").join(right, "b")
     common = joined.select("a", "b", F.size(F.array_intersect("ma", "mb")).alias("both"), (F.size("ma") + F.size("mb")).alias("total"))
-    links = settle(common.where(F.col("both") * 100 >= (F.col("total") - F.col("both")) * THRESHOLD).select("a", "b"))
-    discard(pairs.sparkSession, needed, sets)
-    return links
-
-
-def _grouped(classes: DataFrame, labels: DataFrame) -> DataFrame:
-    known = labels.select(F.col("id").alias("rep"), F.col("component"))
-    return classes.drop("group").join(known, "rep", "left").withColumn("group", F.coalesce("component", "rep")).drop("component")
+    return settle(common.where(F.col("both") * 100 >= (F.col("total") - F.col("both")) * THRESHOLD).select("a", "b"))
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs that link two components."""
-    left = labels.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-    right = labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
-    return pairs.join(left, "a", "left").join(right, "b", "left").where(apart).select("a", "b")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
 
 
-def _closest(pairs: DataFrame) -> DataFrame:
-    """Each class's most similar candidate: enough to join most groups without verifying every pair."""
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "equal"))
-    best = both.groupBy("a").agg(F.max(F.struct("equal", (-F.col("b")).alias("b"))).alias("best"))
-    other = -F.col("best.b")
-    return best.select(F.least("a", other).alias("a"), F.greatest("a", other).alias("b")).distinct()
-
-
-def _linked(pairs: DataFrame, texts: DataFrame, links: DataFrame | None) -> DataFrame:
-    """All verified links so far and those among the settled candidates ``pairs``, spanning every component."""
-    first = _verified(settle(_closest(pairs)), texts)
-    links = first if links is None else links.union(first)
-    rest = settle(_across(pairs, connected_components(links)))
-    return links.union(_verified(rest, texts)) if rest.limit(1).count() else links
-
-
-def _prefixes(crowd: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+def _prefixes(crowd: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
     """Settled rows (token, id, n, at, group) of the shingles by which classes of different components can meet first.
 
     Shingles stand in one order for all: those of a single component, which no such pair shares, then rare ones first.  A
     pair at the threshold shares one within the first n - ceil(0.8 n) + 1 places of both.
     """
-    ids = settle(crowd.select(F.col("rep").alias("doc_id")).distinct())
-    group = _grouped(crowd, labels).select(F.col("rep").alias("id"), "group").dropDuplicates(["id"])
-    sets = only(texts, ids, "doc_id").mapInPandas(_sets, "id long, members array<long>").dropDuplicates(["id"])
-    held = settle(
-        sets.join(group, "id").select("id", F.size("members").alias("n"), "group", F.explode("members").alias("token"))
-    )
+    group = crowd.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("group"))
+    held = settle(sets.join(group, "id").select("id", F.size("members").alias("n"), "group", F.explode("members").alias("token")))
     counted = held.groupBy("token").agg(F.count("*").alias("df"), F.min("group").alias("lo"), F.max("group").alias("hi"))
     shared = settle(counted.where("lo != hi").select("token", "df"))
-    few = shared.count() <= BROADCAST_IDS
     ordered = (
-        held.join(F.broadcast(shared) if few else shared, "token")
+        only(held, shared, ["token"])
         .groupBy("id", "n", "group")
         .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))
         .withColumn("before", F.col("n") - F.size("tokens"))
@@ -310,98 +287,185 @@ def _prefixes(crowd: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFram
     )
     rows = ordered.select("id", "n", "group", "before", F.posexplode(F.expr("slice(tokens, 1, places)")).alias("i", "t"))
     out = settle(rows.select(F.col("t.token").alias("token"), "id", "n", (F.col("before") + F.col("i")).alias("at"), "group"))
-    discard(texts.sparkSession, ids, held, shared)
+    discard(crowd.sparkSession, held, shared)
     return out
 
 
-def _blocks(left: DataFrame, right: DataFrame, lefts: str, rights: str) -> DataFrame:
-    """Pairs of rows of one shingle that may reach the threshold; hot shingles are dealt out in blocks of both sides."""
+def _pairs_of_rare(rows: DataFrame) -> DataFrame:
+    """Pairs that a shingle of at most RARE rows brings together and that may reach the threshold."""
     over, t = 100 + THRESHOLD, THRESHOLD
-    wide = {x: f"int(ceil({n} / {BLOCK}))" for x, n in (("l", lefts), ("r", rights))}
-    own = {x: f"int(pmod(xxhash64(id), {wide[x]}))" for x in wide}
-    x = left.select("token", F.expr(own["l"]).alias("s"), F.explode(F.expr(f"sequence(0, {wide['r']} - 1)")).alias("t"),
-                    *[F.col(c).alias(f"l_{c}") for c in ("id", "n", "at", "group")])
-    y = right.select("token", F.explode(F.expr(f"sequence(0, {wide['l']} - 1)")).alias("s"), F.expr(own["r"]).alias("t"),
-                     *[F.col(c).alias(f"r_{c}") for c in ("id", "n", "at", "group")])
+    x = rows.where("early").select("token", *[F.col(c).alias(f"l_{c}") for c in ("id", "n", "at", "group")])
+    y = rows.select("token", *[F.col(c).alias(f"r_{c}") for c in ("id", "n", "at", "group")])
     needed = f"{t} * (l_n + r_n)"
     fits = F.expr(
         f"l_group != r_group and l_n <= r_n and l_n * 100 >= r_n * {t}"
         f" and (l_n - l_at) * {over} >= {needed} and (r_n - r_at) * {over} >= {needed}"
     )
-    return x.join(y, ["token", "s", "t"]).where(fits).select(
-        F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")
+    return x.join(y, "token").where(fits).select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"))
+
+
+def shared_counts(members: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets, laid out LAID_OUT values at a time."""
+    owner = np.repeat(np.arange(len(members)), [len(m) for m in members])
+    values, place, count = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
+    there = count[place] > 1
+    owner, column = owner[there], column[place[there]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both, most = np.zeros((len(members), len(members))), int(column[-1]) + 1 if len(column) else 0
+    for low in range(0, most, LAID_OUT):
+        a, b = np.searchsorted(column, [low, low + LAID_OUT])
+        grid = np.zeros((len(members), min(LAID_OUT, most)), np.float32)
+        grid[owner[a:b], column[a:b] - low] = 1
+        both += grid @ grid.T
+    return both
+
+
+def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, root) pairs that connect what a symmetric matrix of links connects, one for each row that is no root."""
+    label = np.arange(len(linked))
+    while True:
+        low = np.minimum(label, np.where(linked, label[None, :], len(linked)).min(axis=1, initial=len(linked)))
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    rows = np.flatnonzero(label != np.arange(len(linked)))
+    return rows, label[rows]
+
+
+def _compared(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links among the rows of one task of a frequent shingle that span the components among them."""
+    rows = rows.drop_duplicates("id")
+    n, group, ids = (rows[c].to_numpy() for c in ("n", "group", "id"))
+    both = shared_counts(list(rows["members"]))
+    linked = both * 100 >= (n[:, None] + n[None, :] - both) * THRESHOLD
+    linked &= group[:, None] != group[None, :]
+    one, other = spanning(linked)
+    return pd.DataFrame({"a": np.minimum(ids[one], ids[other]), "b": np.maximum(ids[one], ids[other])})
+
+
+def _links_of_frequent(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that span what the rows of frequent shingles connect.
+
+    The component that has most rows of a shingle is not compared with itself.  The others are dealt out in blocks, each
+    of which meets every other block.
+    """
+    blocks = [F.ceil(F.greatest(F.col(f"{c}_rows") / BLOCK, F.col(f"{c}_n") / BLOCK_SHINGLES)).cast("int") for c in ("other", "main")]
+    dealt = rows.withColumns({"bo": blocks[0], "bm": blocks[1]}).withColumn(
+        "own", F.expr("int(pmod(xxhash64(id), if(main, bm, bo)))")
     )
+    tasks = F.expr(
+        "if(main, transform(sequence(0, bo - 1), i -> struct(i as s, bo + own as t)),"
+        " filter(transform(sequence(0, bo + bm - 1), i -> struct(least(i, own) as s, greatest(i, own) as t)),"
+        " x -> x.s != x.t or bo + bm = 1))"
+    )
+    placed = dealt.withColumn("task", F.explode(tasks)).select("token", "task.s", "task.t", "id", "n", "group")
+    return placed.join(sets, "id").groupBy("token", "s", "t").applyInPandas(_compared, "a long, b long")
 
 
-def _met(crowd: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs of ``crowd`` in different components that can reach the threshold, and some that do not.
-
-    In each shingle the rows of the component that has most of them meet only those of others.
-    """
-    rows = _prefixes(crowd, texts, labels)
+def _met(crowd: DataFrame, classes: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Settled links that connect what links between classes of ``crowd`` connect beyond the components ``labels``."""
+    rows = _prefixes(crowd, sets, labels)
     # the smaller set of a pair has the shingle among still earlier places
     rows = rows.withColumn("early", F.expr(f"at * {100 + THRESHOLD} <= n * {100 - THRESHOLD}"))
-    sizes = rows.groupBy("token", "group").agg(F.count("*").alias("n"), F.count_if("early").alias("e"))
+    sizes = rows.groupBy("token", "group").agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.count_if("early").alias("early"))
     buckets = settle(
         sizes.groupBy("token")
-        .agg(F.max(F.struct("n", "group", "e")).alias("most"), F.sum("n").alias("total"), F.sum("e").alias("early_all"),
-             F.count("*").alias("groups"))
-        .where("groups > 1 and early_all > 0")
-        .select("token", "total", "early_all", F.col("most.n").alias("most_n"), F.col("most.e").alias("most_e"),
-                F.col("most.group").alias("most_group"))
+        .agg(F.max(F.struct("rows", "group", "n")).alias("most"), F.sum("rows").alias("all_rows"), F.sum("n").alias("all_n"),
+             F.sum("early").alias("early_rows"), F.count("*").alias("groups"))
+        .where("groups > 1 and early_rows > 0")
+        .select("token", "all_rows", F.col("most.group").alias("main_group"), F.col("most.rows").alias("main_rows"),
+                F.col("most.n").alias("main_n"), F.expr("all_rows - most.rows").alias("other_rows"),
+                F.expr("all_n - most.n").alias("other_n"))
     )
-    few = buckets.count() <= BROADCAST_IDS // 4
-    marked = settle(rows.join(F.broadcast(buckets) if few else buckets, "token").withColumn("main", F.expr("group = most_group")))
-    early = marked.where("early")
-    others = _blocks(early.where("not main"), marked.where("early_all > most_e"), "(early_all - most_e)", "total")
-    main = _blocks(early.where("main"), marked.where("not main and most_e > 0"), "most_e", "(total - most_n)")
-    found = settle(others.union(main).distinct())
-    discard(texts.sparkSession, rows, buckets, marked)
+    marked = settle(only(rows, buckets, ["token"]).withColumn("main", F.expr("group = main_group")))
+    pairs = _promising(_pairs_of_rare(marked.where(f"all_rows <= {RARE}")).distinct(), classes)
+    found = settle(_verified(pairs, sets).union(_links_of_frequent(marked.where(f"all_rows > {RARE}"), sets)).distinct())
+    discard(crowd.sparkSession, rows, buckets, marked, pairs)
     return found
 
 
-def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Settled rows with signatures, classes of equal sets with their smallest id, and the representatives' rows."""
-    signed = settle(map_texts(documents_of(docs), _signed, ["doc_id"], ["text"], SIGNED))
-    classes = settle(
-        signed.where("doc_id is not null and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    )
-    first = signed.join(classes, (signed.doc_id == classes.rep) & (signed.digest == classes.digest), "left_semi")
-    reps = settle(
-        first.dropDuplicates(["doc_id", "digest"]).select(
-            F.col("doc_id").alias("rep"), "n_shingles", "signature", "sketch", F.col("doc_id").alias("group")
-        )
+def _hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, rank_id (doc_id, the last one for null), text_hash, text (null as empty)."""
+    rank = F.coalesce("doc_id", F.lit(LAST)).alias("rank_id")
+    return documents_of(docs).select("doc_id", rank, F.xxhash64("text").alias("text_hash"), "text")
+
+
+def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Settled rows with the digests of their sets, and classes of equal sets.
+
+    Rows: doc_id, rank_id, text_hash, n_shingles, digest.  A class has an id of its own, the row that stands for it (the
+    least rank_id, text_hash), its number of rows, its signature and its sketch.
+    """
+    signed = settle(map_texts(_hashed(docs), _signed, ["doc_id", "rank_id", "text_hash"], ["text"], SIGNED))
+    row = ["digest", "rank_id", "text_hash"]
+    shingled = signed.where("n_shingles > 0")
+    least = shingled.groupBy("digest").agg(F.min(F.struct("rank_id", "text_hash")).alias("least"), F.count("*").alias("n_rows"))
+    stand = shingled.select(*row, "n_shingles", "signature", "sketch").dropDuplicates(row)
+    classes = settle(stand.join(least.select("digest", "least.*", "n_rows"), row).withColumn("id", F.monotonically_increasing_id()))
+    rows = settle(signed.select("doc_id", "rank_id", "text_hash", "n_shingles", "digest"))
+    discard(docs.sparkSession, signed)
+    return rows, classes
+
+
+def _decided(docs: DataFrame) -> DataFrame:
+    """Every row: doc_id, rank_id, text_hash, n_shingles, and first (rank_id, text_hash of the row that its component
+    keeps; null without shingles)."""
+    rows, classes = classes_of(docs)
+    candidates, crowded = _forest(classes, classes.count())
+    pairs, crowd = _promising(candidates, classes), settle(crowded)
+    sets = _members(_ends(pairs).union(crowd).distinct(), classes, _hashed(docs))
+    links = _verified(pairs, sets)
+    labels = connected_components(links)
+    if crowd.limit(1).count():
+        links = links.union(_met(crowd, classes, sets, labels))
+        labels = connected_components(links)
+    standing = classes.select("id", "digest", "n_rows", F.struct("rank_id", "text_hash").alias("own"))
+    firsts = labels.join(standing, "id").groupBy("component").agg(F.min("own").alias("first"))
+    known = settle(
+        standing.join(labels.join(firsts, "component"), "id", "left").select("digest", "n_rows", F.coalesce("first", "own").alias("first"))
     )
-    return signed.select("doc_id", "n_shingles", "digest"), classes, reps
+    discard(docs.sparkSession, classes, sets)
+    found = join_unique(rows.where("n_shingles > 0"), known, ["digest"], "n_rows", rows.count())
+    return found.unionByName(rows.where("n_shingles = 0"), allowMissingColumns=True)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Every row with its shingle count and component: doc_id, n_shingles, component_id, kept.
 
     Documents whose sets of 4-word shingles have a Jaccard similarity of at least 0.8 are linked; the component is the
-    smallest doc_id reachable.  Null and empty texts have no shingles and no links; rows without doc_id take no part,
-    have no component and are kept; repeated rows give repeated results; rows that share a doc_id but not a text stay
-    single rows of that id; columns besides doc_id and text are ignored; an empty table gives an empty result.
+    smallest doc_id reachable.  Null and empty texts have no shingles and no links; rows without doc_id take part and rank
+    last: their own component is null, and they are kept in it; repeated rows give repeated results; texts that share a
+    doc_id are linked by what they hold alone; columns besides doc_id and text are ignored; an empty table gives an empty
+    result.
     """
-    texts = documents_of(docs)
-    rows, classes, reps = classes_of(docs)
-    count = reps.count()
-    candidates, crowded = _forest(reps, count)
-    pairs = settle(_promising(candidates, reps))
-    links = _linked(pairs, texts, None)
-    labels = connected_components(links)
-    crowd = settle(reps.join(crowded, "rep", "left_semi"))
-    if crowd.limit(1).count():
-        fresh = _met(crowd, texts, labels).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = settle(_promising(fresh, reps))
-        if fresh.limit(1).count():
-            links = _linked(fresh, texts, links)
-            labels = connected_components(links)
-    known = classes.join(labels, F.col("rep") == F.col("id"), "left").select(
-        "digest", F.coalesce("component", "rep").alias("component")
+    component = F.when(F.col("n_shingles") > 0, F.nullif(F.col("first.rank_id"), F.lit(LAST))).otherwise(F.col("doc_id"))
+    decided = _decided(docs).select("doc_id", "n_shingles", component.alias("component_id"))
+    return decided.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The table, with all its columns, less near duplicates: one row of each component, the one with the least doc_id.
+
+    Rows without words stay.  Of rows that share that doc_id one stays (by a hash of the text, then any), and of equal
+    rows without doc_id too.
+    """
+    key, names = ["rank_id", "text_hash"], docs.columns
+    decided = settle(_decided(docs).where("n_shingles > 0").select(*key, (F.struct(*key) == F.col("first")).alias("stays")))
+    base = docs.select(
+        F.struct(*names).alias("row"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rank_id"),
+        F.xxhash64(text_or_empty()).alias("text_hash"),
     )
-    found = rows.join(known, "digest", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return found.select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    counted = decided.groupBy(*key).agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
+    # keys of rows that go, and of several rows of which one stays
+    marked = settle(counted.where("not stays or n > 1").select(*key, "stays"))
+    few = marked.count() <= BROADCAST_IDS
+    found = F.broadcast(marked) if few else marked
+    out = base.join(found, key, "left_anti").select("row")
+    if marked.where("stays").limit(1).count():
+        several = base.join(found.where("stays"), key).groupBy(*key).agg(F.first("row").alias("row"))
+        out = out.union(several.select("row"))
+    return out.select("row.*")
