@@ -12,16 +12,6 @@ from pyspark.sql import functions as F
 
 from sozlab.llm import common, neardup, packing, substrings, toxicity
 
-#: Ids that may be broadcast to drop rows; more are joined by shuffling.
-BROADCAST_IDS = neardup.BROADCAST_IDS
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not among the settled ``ids``."""
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the toxicity model does not predict to be toxic."""
     labels = common.table(spark, sf_dir, "labels")
@@ -30,10 +20,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
+    """One row of each group of near duplicates: the one with the smallest doc_id."""
     common.bounded_batches(spark)
-    decided = neardup.near_duplicates(docs)
-    return _without(docs, common.settle(decided.where("not kept").select("doc_id").distinct()))
+    return neardup.deduplicated(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
