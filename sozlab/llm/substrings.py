@@ -1,137 +1,181 @@
-"""Substring deduplication by hashing lines and the sentences inside them.
+"""Substring deduplication by hashing runs of whole sentences and lines, and runs of words.
 
-A unit begins at every line or sentence and runs over whole sentences until it has ``min_words`` words; where the last
-sentence of a line is shorter, a unit also ends there.  Units are normalised (case, punctuation and white space do not count) and hashed to 128 bits.
-Digests are grouped globally; the earliest ranked occurrence of each stays and the others are cut out of their texts,
-with the original offsets of what was cut.  As units begin anywhere, a passage that repeats in the middle of other text
-is found by its inner sentences.
+Words are normalised (case, punctuation and white space do not count).  A unit of the first kind begins at every sentence
+or line and runs over whole sentences until it has ``min_words`` words; another ends at every end of a line.  Units of the
+second kind ignore punctuation: their borders are words that a window minimum of word-pair hashes picks, so that every 50
+words that repeat hold one, whatever ends or lines stand between them.  Digests are grouped globally; the earliest ranked
+occurrence of each stays and the others are cut out of their texts, with the original offsets of what was cut.
 
-Further units ignore punctuation: their borders are words that a window minimum of word-pair hashes picks, so that every
-50 words that repeat hold a unit, whatever ends or lines stand between them.
+Digests are sums of word hashes times powers of odd numbers, so that numpy takes them of all units of a text at once.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import functools
 
 import numpy as np
-import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, map_texts, settle, text_or_empty
-
-MIN_WORDS = 8
-#: Units that a worker gathers before it passes them on (and those of one more text).
-MOST_ROWS = 10_000
-#: Ends of lines and of sentences, with the white space behind them.
-ENDS = re.compile(r"[.!?…]+\s+|\s*\n\s*")
-WORD = re.compile(r"[^\W_]+")
-#: Neighbouring word pairs of which one is a border.
-WINDOW = 20
-NOT_WORD = re.compile(r"[\W_]+")
-UNITS = "doc_id long, text_hash long, h1 long, h2 long, start int, end int, again boolean"
+from .common import discard, documents_of, join_unique, map_texts, settle, text_or_empty
+
+#: Words of a unit at least.  Shorter lines and sentences that repeat (headings, notices) are no passages by themselves.
+MIN_WORDS = 20
+#: Neighbouring word pairs of which one is a border; WINDOW + MIN_WORDS + WINDOW - 1 repeated words hold a unit.
+WINDOW = 15
+#: Marks that end a sentence where white space follows.
+ENDS = ".!?…"
+#: Characters whose hashes are held at once.
+STRIP = 1 << 20
+UNITS = "h1 array<long>, h2 array<int>, place array<long>, again array<boolean>"
 CUT = "start:int,end:int"
 LAST = (1 << 63) - 1
+#: Odd numbers whose powers weigh characters, words, and words once more.
+BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
-def sentences(text: str) -> list[tuple[int, int, bool, str]]:
-    """(start, end, whether a line ends there, normalised words) of all sentences; they tile the text."""
-    out, at = [], 0
-    for match in ENDS.finditer(text):
-        out.append((at, match.end(), "\n" in match[0], NOT_WORD.sub(" ", text[at : match.start()].lower()).strip()))
-        at = match.end()
-    if at < len(text):
-        out.append((at, len(text), True, NOT_WORD.sub(" ", text[at:].lower()).strip()))
-    return out
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def borders(hashes: np.ndarray) -> np.ndarray:
-    """Places of words that are a border: where the pair hash is the least (the last such) of some WINDOW pairs."""
-    if len(hashes) <= WINDOW:
+@functools.lru_cache(maxsize=64)
+def _powers(base: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``most`` powers of an odd number and of its inverse, modulo 2**64."""
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        powers = np.full(most, b, np.uint64)
+        powers[0] = 1
+        out.append(np.multiply.accumulate(powers))
+    return out[0], out[1]
+
+
+def _sums(values: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each run from start to end of values their sum times powers of the base, counted from the start of the run."""
+    up, down = _powers(base, 1 << max(15, len(values).bit_length()))
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=total[1:])
+    return (total[end] - total[start]) * down[start]
+
+
+@functools.lru_cache(maxsize=1)
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point whether it is part of a word (1), white space (2) or neither, and its lower case."""
+    kind, lower = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for c in map(chr, range(0x110000)):
+        if c.isalnum():
+            kind[ord(c)], lower[ord(c)] = 1, ord(c.lower()[0])
+        elif c.isspace():
+            kind[ord(c)] = 2
+    return kind, lower
+
+
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of a mask."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).view(np.int8)))
+    return edges[::2], edges[1::2]
+
+
+def words_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words of a text; where sentences end, and whether a line does (white space behind
+    included)."""
+    kind, lower = _characters()
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = kind[points]
+    start, end = _runs(kinds == 1)
+    hashes = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + STRIP)))
+        at = start[i]
+        hashes[i:j] = _sums(_mixed(lower[points[at : end[j - 1]]].astype(np.uint64) + np.uint64(1)), BASES[0], start[i:j] - at, end[i:j] - at)
+        i = j
+    blank, after = _runs(kinds == 2)
+    lines = np.concatenate(([0], np.cumsum(points == 10)))
+    line = lines[after] > lines[blank]
+    marked = np.isin(points[np.maximum(blank, 1) - 1], [ord(c) for c in ENDS]) & (blank > 0)
+    return start, end, _mixed(hashes), after[line | marked], line[line | marked]
+
+
+def borders(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Places of words that are a border: where the pair hash is the least (the last such) of some ``window`` pairs."""
+    if len(hashes) <= window:
         return np.empty(0, np.int64)
-    pairs = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]
-    pairs = (pairs ^ (pairs >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    seen = np.lib.stride_tricks.sliding_window_view(pairs[::-1], WINDOW)
+    pairs = _mixed(hashes[:-1] * np.uint64(BASES[1]) + hashes[1:])
+    seen = np.lib.stride_tricks.sliding_window_view(pairs[::-1], window)
     return np.unique(len(pairs) - 1 - (np.arange(len(seen)) + seen.argmin(axis=1)))
 
 
-def word_units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
-    """(start, end, 128-bit digest) of runs of words from a border to the first border ``min_words`` on.
-
-    Of runs with equal words that overlap, the first stays alone.
-    """
-    places = [m.span() for m in WORD.finditer(text)]
-    words = [text[a:b].lower() for a, b in places]
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8")) for w in words), np.uint64, len(words))
-    cuts = borders(hashes)
-    out, last = [], {}
-    for i, j in zip(cuts.tolist(), np.searchsorted(cuts, cuts + min_words).tolist()):
-        if j == len(cuts):
-            break
-        j = int(cuts[j])
-        # another seed: such a unit never equals one of whole sentences
-        digest = xxhash.xxh3_128_intdigest(" ".join(words[i:j]).encode("utf-8"), seed=1)
-        if last.get(digest, 0) <= i:
-            out.append((places[i][0], places[j][0], digest))
-            last[digest] = j
-    return out
-
-
-def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
-    """(start, end, 128-bit digest) of the units of a text, where it has words enough.
-
-    One begins at each sentence; one more ends at the end of a line whose last sentence is too short for a unit; those
-    of ``word_units`` follow.
-    """
-    parts = sentences(text)
-    sizes = [p[3].count(" ") + 1 if p[3] else 0 for p in parts]
-    runs = []
-    for i, size in enumerate(sizes):
-        j = i
-        while size < min_words and j + 1 < len(parts):
-            j += 1
-            size += sizes[j]
-        if sizes[i] and size >= min_words:
-            runs.append((i, j))
-        if parts[i][2] and sizes[i] < min_words:
-            j, size = i, sizes[i]
-            while size < min_words and j and not parts[j - 1][2]:
-                j -= 1
-                size += sizes[j]
-            if size >= min_words:
-                runs.append((j, i))
-    out = []
-    for i, j in dict.fromkeys(runs):
-        words = " ".join(p[3] for p in parts[i : j + 1] if p[3])
-        out.append((parts[i][0], parts[j][1], xxhash.xxh3_128_intdigest(words.encode("utf-8"))))
-    return out + word_units(text, min_words)
-
-
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
+def _from_sentences(n: int, at: np.ndarray, line: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and words behind the last of runs of sentences; ``at`` are the sentences' first words, 0 and n too."""
+    forward = np.searchsorted(at, at + min_words)
+    first, behind = [at[forward < len(at)]], [at[forward[forward < len(at)]]]
+    ends = np.flatnonzero(line)
+    opened = np.concatenate(([0], at[ends]))[: len(ends)]
+    backward = np.searchsorted(at, at[ends] - min_words, side="right") - 1
+    inside = (at[ends] >= min_words) & (at[np.maximum(backward, 0)] >= opened)
+    first.append(at[backward[inside]])
+    behind.append(at[ends[inside]])
+    return np.concatenate(first), np.concatenate(behind)
+
+
+def units(text: str, min_words: int = MIN_WORDS, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends (in characters), 64-bit and 32-bit digests of the units of a text, by their place."""
+    start, end, hashes, breaks, line = words_of(text)
+    n = len(start)
+    if n < min_words:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    # sentences without words are part of none: a sentence starts behind the last break before its first word
+    first = np.concatenate(([0], np.searchsorted(start, breaks), [n]))
+    places = np.concatenate(([0], breaks, [len(text)]))
+    at, earliest = np.unique(first, return_index=True)
+    latest = len(first) - 1 - np.unique(first[::-1], return_index=True)[1]
+    closed = np.maximum.reduceat(np.concatenate(([False], line, [True])), earliest)
+    one, behind = _from_sentences(n, at, closed, min_words)
+    cuts = borders(hashes, window)
+    upto = np.searchsorted(cuts, cuts + min_words)
+    two, last = cuts[upto < len(cuts)], cuts[upto[upto < len(cuts)]]
+    begins = np.concatenate((places[latest[np.searchsorted(at, one)]], start[two]))
+    ends = np.concatenate((places[earliest[np.searchsorted(at, behind)]], start[last]))
+    one, behind = np.concatenate((one, two)), np.concatenate((behind, last))
+    size = (behind - one).astype(np.uint64)
+    h1 = _mixed(_sums(hashes, BASES[1], one, behind) + size)
+    h2 = _mixed(_sums(_mixed(hashes), BASES[2], one, behind) + size) >> np.uint64(32)
+    order = np.lexsort((ends, begins))
+    order = order[np.r_[True, np.diff(begins[order]).astype(bool) | np.diff(ends[order]).astype(bool)]] if len(order) else order
+    return begins[order], ends[order], h1[order], h2[order]
+
+
+def _once(begins: np.ndarray, ends: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a unit counts (it does not overlap an equal one that counts and begins before), and whether it repeats one."""
+    order = np.lexsort((begins, h2, h1))
+    same = np.r_[False, (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])] if len(order) else np.empty(0, bool)
+    counts, again = np.ones(len(order), bool), np.zeros(len(order), bool)
+    free = 0
+    for k in np.flatnonzero(same).tolist():
+        if not same[k - 1]:
+            free = ends[order[k - 1]]
+        unit = order[k]
+        again[unit] = counts[unit] = begins[unit] >= free
+        if counts[unit]:
+            free = ends[unit]
+    return counts, again
 
 
 def _units(min_words: int):
-    names = [c.split()[0] for c in UNITS.split(", ")]
+    def found(texts: list[str]) -> dict[str, list]:
+        out: dict[str, list] = {"h1": [], "h2": [], "place": [], "again": []}
+        for text in texts:
+            begins, ends, h1, h2 = units(text, min_words)
+            counts, again = _once(begins, ends, h1, h2)
+            out["h1"].append(h1[counts].view(np.int64))
+            out["h2"].append(h2[counts].astype(np.uint32).view(np.int32))
+            out["place"].append((begins[counts] << 32) | ends[counts])
+            out["again"].append(again[counts])
+        return out
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc_id, text_hash, text in zip(batch["doc_id"], batch["text_hash"], batch["text"]):
-                if len(rows) > MOST_ROWS:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-                seen = set()
-                for start, end, digest in units(text, min_words):
-                    high, low = _signed(digest >> 64), _signed(digest & ((1 << 64) - 1))
-                    rows.append((doc_id, text_hash, high, low, start, end, digest in seen))
-                    seen.add(digest)
-            yield pd.DataFrame(rows, columns=names)
-
-    return hashed
+    return found
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -155,24 +199,27 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Spans to cut: (doc_id, text_hash, spans), for documents that have any.  A missing doc_id is read as the last."""
-    found = settle(
-        documents_of(docs)
-        .select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-        .mapInPandas(_units(min_words), UNITS)
+    read = documents_of(docs).select(
+        F.monotonically_increasing_id().alias("row"), F.coalesce("doc_id", F.lit(LAST)).alias("rank"), F.xxhash64("text").alias("text_hash"), "text"
     )
+    found = settle(map_texts(read, _units(min_words), ["row", "rank", "text_hash"], ["text"], UNITS))
+    total = found.agg(F.coalesce(F.sum(F.size("again")), F.lit(0))).first()[0]
+    placed = found.select("row", "rank", F.explode(F.arrays_zip("h1", "h2", "place", "again")).alias("u")).select("row", "rank", "u.*")
+    firsts = placed.where("not again").drop("again")
     # one row per digest and task reaches a reducer, so a hot line is counted before it moves
-    earliest = (
-        found.where("not again")
-        .groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"))
+    earliest = settle(
+        firsts.groupBy("h1", "h2")
+        .agg(F.min("rank").alias("keeper"), F.max("rank").alias("last"), F.count("*").alias("n"))
         .where("last > keeper")
-        .select("h1", "h2", "keeper")
-    )
-    later = found.where("not again").join(earliest, ["h1", "h2"]).where("doc_id > keeper")
-    spans = later.select("doc_id", "text_hash", "start", "end").union(
-        found.where("again").select("doc_id", "text_hash", "start", "end")
+        .select("h1", "h2", "keeper", "n")
     )
-    return spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    later = join_unique(firsts, earliest, ["h1", "h2"], "n", total, "inner").where("rank > keeper").select("row", "place")
+    cut = later.union(placed.where("again").select("row", "place")).groupBy("row").agg(F.collect_set("place").alias("places"))
+    spans = F.transform("places", lambda p: F.struct(F.shiftright(p, 32).cast("int").alias("start"), p.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("end")))
+    whose = found.select("row", F.col("rank").alias("doc_id"), "text_hash")
+    out = settle(whose.join(cut, "row").select("doc_id", "text_hash", spans.alias("spans")))
+    discard(docs.sparkSession, found, earliest)
+    return out
 
 
 def _cut(texts: list[str | None], cuts: list[list[dict] | None]) -> dict[str, list]:
@@ -203,7 +250,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Every row's remaining text and what was cut: doc_id, text, spans (original offsets in characters), n_cut.
 
     The earliest occurrence is the one in the smallest doc_id, there the first one.  Null texts stay null; texts with
-    fewer than ``min_words`` words have no units and stay whole; rows without doc_id rank last and share that rank;
+    fewer than ``min_words`` words have no units and stay whole, as do repeated lines of fewer words (1 for every line); rows without doc_id rank last and share that rank;
     repeated rows, and rows that share a doc_id, rank alike and keep what they share with each other; columns besides
     doc_id and text are ignored; an empty table gives an empty result.
     """

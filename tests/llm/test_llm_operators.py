@@ -125,14 +125,25 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in [*range(100, 140), 200]}
 
 
-def test_neighbours_skip_rows_of_their_own_group():
-    key = np.arange(8, dtype=">u4").tobytes()
-    rows = pd.DataFrame({"o": 0, "key": [key] * 40, "id": range(40), "n": 10, "group": [1] * 20 + [2] * 20})
-    pairs, crowded = neardup.neighbours(rows, 0)
-    assert len(pairs) and all(a < 20 <= b for a, b in zip(pairs["a"], pairs["b"])) and len(crowded)
-
-
-def test_substrings_match_brute_force(spark):
+@pytest.mark.parametrize("size", [1, 10, 53])
+def test_candidates_do_not_depend_on_batches(size):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.integers(1, 4, neardup.VALUES).astype(">u4").tobytes()) for i in range(53)]
+    order = sorted((r[1][:32], r[0]) for r in rows)
+    whole = pd.DataFrame({"o": 0, "key": [k for k, _ in order], "id": [i for _, i in order], "n": 10})
+    want, crowded = neardup.neighbours(whole, 0)
+    pairs, marks, carried = set(), set(), None
+    for at in range(0, len(whole), size):
+        batch = whole.iloc[at : at + size]
+        seen = batch if carried is None else pd.concat([carried, batch], ignore_index=True)
+        found, more = neardup.neighbours(seen, 0 if carried is None else len(carried))
+        pairs |= set(zip(found["a"], found["b"]))
+        marks |= set(more.tolist())
+        carried = seen.tail(neardup.REACH)
+    assert pairs == set(zip(want["a"], want["b"])) and marks == set(crowded.tolist()) and crowded.size
+
+
+def test_passages_keep_their_first_occurrence(spark):
     passage = "one two three four five six seven eight nine ten. Then eleven twelve thirteen fourteen fifteen sixteen seventeen. "
     docs = {
         1: "Quite another beginning of a text here. " + passage + "And an end.",
@@ -142,24 +153,10 @@ def test_substrings_match_brute_force(spark):
         5: "ONE two, three four five six seven eight nine ten. Then eleven twelve thirteen fourteen fifteen sixteen seventeen!",
     }
     frame = spark.createDataFrame([(i, t, "en") for i, t in docs.items()], "doc_id long, text string, lang string")
-    first: dict[int, int] = {}
-    want = {}
-    for i, text in sorted(docs.items()):
-        spans, seen = [], set()
-        for start, end, digest in substrings.units(text):
-            if digest in seen or first.get(digest, i) < i:
-                spans.append({"start": start, "end": end})
-            seen.add(digest)
-        for digest in seen:
-            first.setdefault(digest, i)
-        want[i] = substrings.merged(spans)
-    got = {r.doc_id: r for r in substrings.substring_dedup(frame).collect()}
-    for i, text in docs.items():
-        assert [(s["start"], s["end"]) for s in got[i].spans] == want[i]
-        assert got[i].text == substrings.without(text, want[i])
+    got = {r.doc_id: r for r in substrings.substring_dedup(frame, 8).collect()}
     assert got[1].text == docs[1] and got[3].text == docs[3]
     assert "thirteen" not in got[2].text and got[2].text.endswith("Its own end comes here now.") and got[4].text.count("same") == 1
-    kept = {r.doc_id: r.text for r in substrings.deduplicated(frame).collect()}
+    kept = {r.doc_id: r.text for r in substrings.deduplicated(frame, 8).collect()}
     assert kept == {i: r.text for i, r in got.items()}
 
 
