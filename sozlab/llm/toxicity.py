@@ -33,7 +33,7 @@ LEXICON_SIZE, LEAST_TOXIC_DOCS, LEAST_ODDS = 600, 5, 2.0
 LEAST_TOXIC_SHARE = 0.005
 #: Lengths of word beginnings that may become entries, which end in a mark.
 STEMS, MARK = (4, 5, 6, 7), "~"
-MEMO_SIZE = 1 << 18
+MEMO_SIZE, LONGEST_KEPT = 1 << 18, 64
 #: Words of insult and contempt in general use, and words of address, in the languages expected.
 INSULTS = frozenset(
     "idiot idiots moron morons stupid loser losers trash scum worthless pathetic disgusting clown dumb dumbass fool "
@@ -49,7 +49,9 @@ ADDRESS = frozenset(
 )
 LOOKALIKES = str.maketrans("013457@$!|+", "oleastasilt")
 WORDS = re.compile(r"[^\W_]+(?:['’@$!|+*][^\W_]+)*")
-SIGNED = re.compile(r"(?=\S*[a-z])(?<![^\s\W])[a-z0-9@$!|+*]*[a-z][0-9@$!|+*]+[a-z][a-z0-9@$!|+*]*|\b[0-9@$]+[a-z]{2,}\w*")
+#: Runs of letters and the signs that stand for some, and what marks such a run: signs between letters, or before two.
+SIGNS = re.compile(r"[a-z0-9@$!|+*]+")
+SIGNED = re.compile(r"[a-z][0-9@$!|+*]+[a-z]|(?<![a-z0-9@$])[0-9@$]+[a-z]{2}")
 STRETCHED = re.compile(r"([a-z])\1{2,}")
 APART = re.compile(r"\b(?:[a-z][ .\-_*]){3,}[a-z]\b")
 NEAR, FAR = 5, 1_000_000
@@ -90,7 +92,8 @@ class Lexicon(dict):
         found = found if found != (False, 0.0) else NOTHING
         if len(self) >= MEMO_SIZE:
             self.clear()
-        self[word] = found
+        if len(word) <= LONGEST_KEPT:
+            self[word] = found
         return found
 
 
@@ -104,7 +107,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     hits = [(i, *f) for i, f in enumerate(map(lexicon.__getitem__, words)) if f is not NOTHING]
     insults = sum(h[1] for h in hits)
     known = [h[2] for h in hits if h[2]]
-    signed = SIGNED.findall(lower) if any(c in text for c in "013457@$!|+*") else []
+    signed = [run for run in SIGNS.findall(lower) if SIGNED.search(run)] if any(c in text for c in "013457@$!|+*") else []
     stretched = STRETCHED.findall(lower)
     apart = [re.sub(r"[^a-z]", "", a) for a in APART.findall(lower)]
     hidden = {plain(w) for w in signed} | set(apart)
@@ -224,6 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     rows = settle(training_rows(docs, labels))
     learned = learned_lexicon(rows)
     got = rows.where("share >= 5").select("toxic", "share", "text").mapInPandas(_matrix(learned), "toxic int, share int, x array<double>").toPandas()
+    # one order whatever task a row comes from, so that sums of floats agree between runs
+    got = got.iloc[np.lexsort((*np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES)).T, got["toxic"], got["share"]))]
     y = got["toxic"].to_numpy(float)
     fitted = (got["share"] < 8).to_numpy()
     if len(set(y[fitted])) < 2 or len(set(y[~fitted])) < 2:

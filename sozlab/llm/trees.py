@@ -102,10 +102,12 @@ class Isotonic:
 
     @classmethod
     def fit(cls, margin: np.ndarray, y: np.ndarray) -> Isotonic:
-        order = np.argsort(margin, kind="stable")
+        # equal margins are one block from the start: no order of theirs counts
+        margins, place = np.unique(margin, return_inverse=True)
+        labels, weights = np.bincount(place, y, len(margins)), np.bincount(place, minlength=len(margins))
         blocks: list[list[float]] = []  # sum of labels, weight, sum of margins
-        for m, label in zip(margin[order], y[order]):
-            blocks.append([float(label), 1.0, float(m)])
+        for m, label, w in zip(margins, labels, weights):
+            blocks.append([float(label), float(w), float(m * w)])
             while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
                 top = blocks.pop()
                 blocks[-1] = [a + b for a, b in zip(blocks[-1], top)]
