@@ -13,58 +13,70 @@ from pyspark.sql import functions as F
 
 from .rows import explode_rows, map_rows
 
-#: Suffixes as tag, surfaces, states before, state after, harmony (2: back or front, 4: four-way, 0: none).
-#: States: I start; D, L, P, C noun after derivation, plural, possessive, case; V, N, T, R verb after voice, negation,
-#: tense, person; K after the copula; Q after the question.
-RULES = """
-Plural | lar lər | I D | L | 2
-Poss1Sg | ım im um üm m | I L D | P | 4
-Poss2Sg | ın in un ün n | I L D | P | 4
-Poss3Sg | sı si su sü ı i u ü | I L D | P | 4
-Poss1Pl | ımız imiz umuz ümüz mız miz muz müz | I L D | P | 4
-Poss2Pl | ınız iniz unuz ünüz nız niz nuz nüz | I L D | P | 4
-Poss3Pl | ları ləri | I L D | P | 2
-CaseGen | nın nin nun nün ın in un ün | I P L D | C | 4
-CaseDat | ya yə na nə a ə | I P L D | C | 2
-CaseAcc | nı ni nu nü ı i u ü | I P L D | C | 4
-CaseLoc | nda ndə da də ta tə | I P L D | C | 2
-CaseAbl | ndan ndən dan dən tan tən | I P L D | C | 2
-CaseIns | la lə | I P L D | C | 2
-DerivAgent | çı çi çu çü | I D | D | 4
-DerivAbstract | lıq lik luq lük | I D | D | 4
-DerivPriv | sız siz suz süz | I D | D | 4
-DerivPoss | lı li lu lü | I D | D | 4
-DerivVerb | laş ləş | I D | V | 2
-Copula | dır dir dur dür tır tir tur tür | I C P L D T | K | 4
-Negation | ma mə | I V | N | 2
-VoicePass | ıl il ul ül | I | V | 4
-VoiceReflex | ın in un ün | I | V | 4
-VoiceRecip | ış iş uş üş | I | V | 4
-VoiceCaus | t | I | V | 0
-VoiceCaus | ır ir ur ür | I | V | 4
-TensePastDef | dı di du dü tı ti tu tü | I N V T | T | 4
-TensePastIndef | mış miş muş müş | I N V | T | 4
-TensePastEvi | ıb ib ub üb | I N V | T | 4
-TensePresent | ır ir ur ür | I N V | T | 4
-TenseFuture | acaq əcək | I N V | T | 2
-TenseAorist | ar ər | I N V | T | 2
-MoodOblig | malı məli | I N V | T | 2
-MoodCond | sa sə | I N V | T | 2
-Participle | an ən | I N V | T | 2
-Gerund | araq ərək | I N V | T | 2
-Gerund | madan mədən | I N V | T | 2
-Gerund | ınca incə unca üncə | I N V | T | 4
-Gerund | dıqca dikcə duqca dükcə tıqca tikcə tuqca tükcə | I N V | T | 4
-Pers1Sg | əm am m | T | R | 2
-Pers2Sg | sən san n | T | R | 2
-Pers1Pl | ıq ik uq ük q k | T | R | 4
-Pers2Pl | sınız siniz sunuz sünüz nız niz nuz nüz | T | R | 4
-Pers3 | lar lər | T | R | 2
-Question | mı mi mu mü | I R K T | Q | 4
-"""
+#: The suffixes of each slot with their tags.  A is a or ə, I one of ı i u ü, D d or t, K q or k, each in
+#: harmony with the vowel before; a sound in brackets stands after a vowel only.
+NOUN_SUFFIXES = {
+    "derived": [
+        ("DerivAgent", ["çI"]),
+        ("DerivAbstract", ["lIK"]),
+        ("DerivPriv", ["sIz"]),
+        ("DerivPoss", ["lI"]),
+    ],
+    "plural": [("Plural", ["lAr"])],
+    "possessed": [
+        ("Poss1Sg", ["Im", "m"]),
+        ("Poss2Sg", ["In", "n"]),
+        ("Poss3Sg", ["sI", "I"]),
+        ("Poss1Pl", ["ImIz", "mIz"]),
+        ("Poss2Pl", ["InIz", "nIz"]),
+        ("Poss3Pl", ["lArI"]),
+    ],
+    "cased": [
+        ("CaseGen", ["nIn", "In"]),
+        ("CaseDat", ["yA", "nA", "A"]),
+        ("CaseAcc", ["nI", "I"]),
+        ("CaseLoc", ["ndA", "DA"]),
+        ("CaseAbl", ["ndAn", "DAn"]),
+        ("CaseIns", ["lA"]),
+    ],
+}
+VERB_SUFFIXES = {
+    "voiced": [
+        ("VoicePass", ["Il"]),
+        ("VoiceReflex", ["In"]),
+        ("VoiceRecip", ["Iş"]),
+        ("VoiceCaus", ["t"]),
+        ("VoiceCaus", ["Ir"]),
+    ],
+    "negated": [("Negation", ["mA"])],
+    "tensed": [
+        ("TensePastDef", ["DI"]),
+        ("TensePastIndef", ["mIş"]),
+        ("TensePastEvi", ["Ib"]),
+        ("TensePresent", ["Ir"]),
+        ("TenseFuture", ["AcAK"]),
+        ("TenseAorist", ["Ar"]),
+        ("MoodOblig", ["mAlI"]),
+        ("MoodCond", ["sA"]),
+        ("Participle", ["An"]),
+        ("Gerund", ["ArAK"]),
+        ("Gerund", ["mAdAn"]),
+        ("Gerund", ["IncA"]),
+        ("Gerund", ["DIKcA"]),
+    ],
+    "personal": [
+        ("Pers1Sg", ["Am", "m"]),
+        ("Pers2Sg", ["sAn", "n"]),
+        ("Pers1Pl", ["IK", "K"]),
+        ("Pers2Pl", ["sInIz", "nIz"]),
+        ("Pers3", ["lAr"]),
+    ],
+}
+VERBALISER, COPULA, QUESTION = ("DerivVerb", ["lAş"]), ("Copula", ["DIr"]), ("Question", ["mI"])
 #: Sounds.
 VOWELS, BACK, VOICELESS = "aıoueəiöü", "aıou", "pçtkqfsşxh"
 FOUR_WAY = str.maketrans(VOWELS, "ııuuiiiüü")
+START = "start"
 MOST_BYTES, MOST_DEPTH, MOST_ANALYSES = 256, 10, 128
 #: Tags that reach far into verbs, and tags that make no new word.
 DEEP = {"Negation", "MoodOblig", "MoodCond"}
@@ -83,17 +95,47 @@ def _vowel(text: str, last: bool) -> str:
     return next((c for c in (reversed(text) if last else text) if c in VOWELS), "")
 
 
+def _harmony(pattern: str) -> int:
+    return next(({"A": 2, "I": 4}[c] for c in pattern if c in "AI"), 0)
+
+
+def _surfaces(pattern: str) -> list[str]:
+    """The forms of a suffix in vowel harmony: its first vowel has two kinds (A) or four (I), the others follow it."""
+    out = []
+    for vowel in "ıiuü" if _harmony(pattern) == 4 else "aə":
+        back = vowel in BACK
+        sounds = {"A": "a" if back else "ə", "I": {"a": "ı", "ə": "i"}.get(vowel, vowel), "K": "q" if back else "k"}
+        form = "".join(sounds.get(c, c) for c in pattern)
+        out += [form.replace("D", d) for d in "dt"] if "D" in form else [form]
+    return list(dict.fromkeys(out))
+
+
 @lru_cache(maxsize=1)
 def rules_by_state() -> dict[str, list[tuple]]:
-    """For each state the suffixes that lead to it: (tag, surface, states before, harmony, needs a voiceless sound)."""
+    """For each state the suffixes that lead to it: (tag, surface, states before, harmony, needs a voiceless sound).
+
+    Nouns and verbs each fill their slots in order, any of which may stay empty; derivation may repeat, persons follow a
+    tense, the past also another tense, the copula any noun or a tense, and the question what ends a word.
+    """
     table: dict[str, list[tuple]] = {}
-    for line in RULES.strip().splitlines():
-        tag, surfaces, before, after, harmony = (x.strip() for x in line.split("|"))
-        forms = surfaces.split()
-        paired = any(f[0] == "d" for f in forms) and any(f[0] == "t" for f in forms) and tag != "Copula"
-        paired = paired or (tag in ("CaseLoc", "CaseAbl"))
-        for form in forms:
-            table.setdefault(after, []).append((tag, form, before.split(), int(harmony), paired and form[0] == "t"))
+
+    def add(state: str, suffix: tuple[str, list[str]], before: list[str]) -> None:
+        tag, patterns = suffix
+        harmony = max(map(_harmony, patterns))
+        for pattern in patterns:
+            for surface in _surfaces(pattern):
+                hard = surface[0] == "t" and pattern[0] == "D" and tag != "Copula"
+                table.setdefault(state, []).append((tag, surface, before, harmony, hard))
+
+    nouns, verbs = [START, *NOUN_SUFFIXES], [START, *VERB_SUFFIXES]
+    for slots, suffixes in ((nouns, NOUN_SUFFIXES), (verbs, VERB_SUFFIXES)):
+        for state, listed in suffixes.items():
+            before = ["tensed"] if state == "personal" else slots[: slots.index(state) + (state == "derived")]
+            for suffix in listed:
+                add(state, suffix, [*before, "tensed"] if suffix[0] == "TensePastDef" else before)
+    add("voiced", VERBALISER, [START, "derived"])
+    add("copular", COPULA, [*nouns, "tensed"])
+    add("asked", QUESTION, [START, "personal", "copular", "tensed"])
     return table
 
 
@@ -120,7 +162,7 @@ def parses(word: str) -> tuple[tuple[str, tuple[tuple[str, str], ...]], ...]:
     open_states = [(low, word, state, (), 0) for state in sorted(table)]
     while open_states and len(found) < MOST_ANALYSES:
         rest, written, state, stripped, depth = open_states.pop()
-        if state == "I":
+        if state == START:
             if _valid(rest):
                 found.setdefault((written, tuple(t for _, t in stripped)), (written, stripped))
             continue
