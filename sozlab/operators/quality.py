@@ -2,31 +2,30 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import detect
+from ..functions import detect, tokens
+from ..functions.casing import is_title_case
+from . import texts
 from .rows import map_rows
 
 MOST_BYTES, MOST_ISSUES, SURE = 1 << 20, 1000, 0.5
 #: Letters of the two scripts that look alike.
-LATIN_TWINS, CYRILLIC_TWINS = "AaBCcEeHKMOopPTxXy", "АаВСсЕеНКМОорРТхХу"
+LATIN_TWINS, CYRILLIC_TWINS = "aeopcxyAEOPCXYiIjJ", "аеорсхуАЕОРСХУіІјЈ"
 ISSUES = "array<struct<text:string,start:int,end:int,type:string,severity:string,message:string,suggestion:string>>"
 POINTS = {"Error": 10, "Warning": 3, "Info": 1}
-TOKEN = re.compile(r"\s+|[^\W\d_][^\W_]*(?:[-'’ʼ][^\W_]+)*|[0-9]+(?:[.,][0-9]+)*|.", re.DOTALL)
 
 
 def _script(word: str, cyrillic: bool) -> list[bool]:
     return [("Ѐ" <= c <= "ӿ") == cyrillic for c in word if c.isalpha()]
 
 
-def issues(text: str | None, script: str | None, confidence: float | None, misspelt: dict[str, str] | None = None) -> tuple[int, list]:
-    """(score, issues) of a text; a text that is empty or beyond the limit has none."""
-    if not text or len(text.encode("utf-8")) > MOST_BYTES:
+def issues(tokens: list[str] | None, script: str | None, confidence: float | None, misspelt: list[dict] | None = None) -> tuple[int, list]:
+    """(score, issues) of a text by its tokens, which tile it; an empty text has none.  ``misspelt``: word and suggestion."""
+    if not tokens:
         return 100, []
-    tokens = TOKEN.findall(text)
+    wrong = {m["word"]: m["suggestion"] or "" for m in misspelt or ()}
     found, at = [], 0
     places = []
     for token in tokens:
@@ -39,13 +38,11 @@ def issues(text: str | None, script: str | None, confidence: float | None, missp
         found.append((shown, places[i], places[end] + len(tokens[end].encode("utf-8")), kind, severity, message, suggestion))
 
     def is_word(i: int) -> bool:
-        return i < len(tokens) and tokens[i][0].isalpha()
+        return i < len(tokens) and tokens[i][0].isalpha() and "@" not in tokens[i] and "://" not in tokens[i]
 
-    if script != "Cyrl":
-        for i, token in enumerate(tokens):
-            plain = is_word(i) and not any(c.isdigit() for c in token) and not (token[0].isupper() and not token.isupper())
-            if plain and misspelt and token.lower() in misspelt:
-                add(i, "Spelling", "Error", "unknown word", misspelt[token.lower()])
+    for i, token in enumerate(tokens if wrong and script != "Cyrl" else []):
+        if is_word(i) and token in wrong and not any(c.isdigit() for c in token):
+            add(i, "Spelling", "Error", "unknown word", wrong[token])
     for i, token in enumerate(tokens):
         if token.isspace():
             if len(token) > 1 and "\n" not in token and 0 < i < len(tokens) - 1:
@@ -80,12 +77,32 @@ def issues(text: str | None, script: str | None, confidence: float | None, missp
     return max(0, 100 - sum(POINTS[x[4]] for x in kept)), [dict(zip(names, x)) for x in kept]
 
 
-def validate(frame: DataFrame, column: str) -> DataFrame:
-    """The table with the score (0 to 100) and the issues of a text."""
+def misspelt_words(frame: DataFrame, key: str, column: str, dictionary: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """Unknown words of each text with their best correction: key, misspelt.  Words in title case may be names."""
+    rows = frame.select(key, F.explode(F.array_distinct(tokens.words(F.col(column)))).alias("word")).where(~is_title_case(F.col("word")))
+    wrong = texts.check_words(rows, dictionary, frequencies).where("not correct").select("word")
+    best = texts.suggest_words(rows, dictionary, frequencies).where("rank = 1").select("word", F.col("term").alias("suggestion"))
+    found = rows.join(wrong.join(best, "word", "left"), "word")
+    return found.groupBy(key).agg(F.collect_list(F.struct("word", "suggestion")).alias("_misspelt"))
+
+
+def validate(frame: DataFrame, column: str, key: str | None = None, dictionary: DataFrame | None = None, frequencies: DataFrame | None = None) -> DataFrame:
+    """The table with the score (0 to 100) and the issues of a text.
+
+    With a ``dictionary`` (lemma) and ``frequencies`` (word, freq) unknown words are issues too; ``key`` tells rows apart.
+    """
     judged = detect.with_languages(frame, column, "_languages")
     best = detect.best(F.col("_languages"))
-    ready = judged.withColumn("_script", best["script"]).withColumn("_sure", best["confidence"])
-    return map_rows(ready, [column, "_script", "_sure"], f"score int, issues {ISSUES}", issues).drop("_languages", "_script", "_sure")
+    text = F.col(column)
+    ready = judged.withColumns({
+        "_script": best["script"], "_sure": best["confidence"],
+        "_tokens": F.when(F.octet_length(text) <= MOST_BYTES, tokens.token_texts(text)),
+    })
+    read = ["_tokens", "_script", "_sure"]
+    if dictionary is not None and frequencies is not None and key:
+        ready = ready.join(misspelt_words(frame, key, column, dictionary, frequencies), key, "left")
+        read.append("_misspelt")
+    return map_rows(ready, read, f"score int, issues {ISSUES}", issues).drop("_languages", *read)
 
 
 def is_valid(issues_column):

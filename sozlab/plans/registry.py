@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import casing, detect, entities, numbers, tokens, translit
-from ..operators import chunks, datetimes, lexical, morphology, quality
+from ..operators import chunks, datetimes, lexical, morphology, quality, texts
 from ..streaming import streams
 from . import jobs
 
@@ -409,6 +409,79 @@ def spelling_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.suggestions(wrong, freq, 1).where("rank <= 3")
 
 
+def _vocabulary(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    words = SEED.split()
+    lemmas = spark.createDataFrame([(w,) for w in words], "lemma string")
+    return lemmas, spark.createDataFrame([(w, 100 + i) for i, w in enumerate(words)], "word string, freq long")
+
+
+def _texts_of_keys(spark: SparkSession, sf_dir: str, *choices: list[str]) -> DataFrame:
+    """A text of chosen words between its key and an address, for every order."""
+    key = F.col("o_orderkey")
+    parts = [_pick(words, key + 3 * i) for i, words in enumerate(choices)]
+    text = F.concat(key.cast("string"), F.lit(": "), F.concat_ws(", ", *parts), F.lit(" – a.b@c.az"))
+    return _table(spark, sf_dir, "orders").select(key, text.alias("text"))
+
+
+def _sql_texts(*choices: list[str]) -> str:
+    parts = " || ', ' || ".join(_sql_pick([w.replace("'", "''") for w in words], f"(o_orderkey + {3 * i})") for i, words in enumerate(choices))
+    return f"SELECT o_orderkey, o_orderkey || ': ' || {parts} || ' – a.b@c.az' AS text FROM orders"
+
+
+@query(_sql_texts(["Gözəl", "DƏNİZ", "kənd-məktəb", "ağız'ın", "naməlum"], ["su", "gün", "gecə", "oğul"]))
+def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose marks were left out; each word has one spelling in the dictionary or stays."""
+    made = _texts_of_keys(spark, sf_dir, ["Gozel", "DENİZ", "kend-mekteb", "agız'ın", "naməlum"], ["su", "gun", "gece", "ogul"])
+    done = texts.normalize_texts(made, "o_orderkey", "text", _vocabulary(spark)[0])
+    return done.select("o_orderkey", F.col("normalized").alias("text"))
+
+
+@query(_sql_texts(["kitab", "KİTAB", "Ketab", "kitablardan", "qqqqqqqq"], ["dəniz", "məktəb", "su", "alma"]))
+def corrected_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misspelt words, in capitals and with suffixes too; a name and a word without a near one stay."""
+    made = _texts_of_keys(spark, sf_dir, ["ketab", "KETAB", "Ketab", "ketablardan", "qqqqqqqq"], ["dənizz", "məkətb", "su", "alma"])
+    done = texts.correct_texts(made, "o_orderkey", "text", *_vocabulary(spark))
+    return done.select("o_orderkey", F.col("corrected").alias("text"))
+
+
+@query(f"""
+SELECT unnest(['kitablar', 'Dənizdən', 'gozel', 'xyzw', 'ev-xyzw', 'ev-kitab', 'x9yz', 'məktəb''in', 'q']) AS word,
+       unnest([TRUE, TRUE, TRUE, FALSE, FALSE, TRUE, TRUE, TRUE, TRUE]) AS correct
+""")
+def checked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = ["kitablar", "Dənizdən", "gozel", "xyzw", "ev-xyzw", "ev-kitab", "x9yz", "məktəb'in", "q"]
+    made = _table(spark, sf_dir, "orders").select(_pick(words, F.col("o_orderkey")).alias("word"))
+    return texts.check_words(made, *_vocabulary(spark))
+
+
+_KEYED, _STEMS = ["kitablardan", "Dənizdə", "gozel", "evlər"], ["kitab", "dəniz", "gözəl", "ev"]
+
+
+@query(f"""
+WITH s AS (SELECT o_orderkey, [{_sql_pick(_STEMS, 'o_orderkey')}, {_sql_pick(_STEMS, '(o_orderkey + 1)')}, {_sql_pick(_STEMS, 'o_orderkey')}] AS s FROM orders)
+SELECT o_orderkey, CAST(unnest([0, 4, 6]) AS INTEGER) AS pos, unnest(s) AS stem FROM s
+""")
+def keyword_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems of the words of a text, normalised, without function words."""
+    key = F.col("o_orderkey")
+    text = F.concat_ws(" ", _pick(_KEYED, key), F.lit("və"), _pick(_KEYED, key + 1), _pick(_STEMS, key))
+    made = _table(spark, sf_dir, "orders").select(key, text.alias("text"))
+    return texts.keyword_stems(made, "o_orderkey", "text", _vocabulary(spark)[0]).select("o_orderkey", "pos", "stem")
+
+
+def _sentence_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _sentences_of_keys(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "stem"))).alias("w"))
+    return parts.select("doc_id", F.concat_ws(" ", F.transform("w", lambda p: p["stem"])).alias("text"))
+
+
+@query(ORACLE_SQL["sentiment"])
+def sentiment_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of the query ``sentiment`` as texts, from which tokens and stems are taken."""
+    lexicon = spark.createDataFrame(LEXICON, "stem string, score double")
+    dictionary = spark.createDataFrame([(w,) for w in [*SEED.split(), *[w for w, _ in LEXICON], "deyil", "idi", "və"]], "lemma string")
+    return texts.sentiment_of_texts(_sentence_texts(spark, sf_dir), "doc_id", "text", dictionary, lexicon)
+
+
 @query()
 def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.validate(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")

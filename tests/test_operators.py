@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from sozlab.operators import chunks, datetimes, lexical, morphology, quality
+from sozlab.operators import chunks, datetimes, lexical, morphology, quality, texts
 from sozlab.plans import jobs
 
 REF = datetime(2026, 2, 20, 10, 30)
@@ -84,11 +84,11 @@ def test_chunks_tile(text):
 
 
 def test_quality():
-    score, found = quality.issues("Salam  dünya ,necə??", "Latn", 0.9)
+    score, found = quality.issues(["Salam", "  ", "dünya", " ", ",", "necə", "?", "?"], "Latn", 0.9)
     assert {i["message"] for i in found} == {"multiple spaces", "space before punctuation", "repeated punctuation"} and score == 100 - 3 - 3 - 1
-    score, found = quality.issues("kitаb", "Latn", 0.9)
+    score, found = quality.issues(["kitаb"], "Latn", 0.9)
     assert found[0]["severity"] == "Error" and found[0]["suggestion"] == "kitab" and score == 90
-    assert quality.issues("", None, None) == (100, [])
+    assert quality.issues(None, None, None) == (100, [])
 
 
 def test_jobs(spark):
@@ -101,3 +101,61 @@ def test_jobs(spark):
     assert [tuple(r) for r in jobs.clean_reviews(reviews, "at").collect()] == [("çox yaxşı məhsul", 5)]
     report = jobs.corpus_report(spark.createDataFrame([("f", "Salam dünya."), ("f", ""), ("g", "Бакы")], "file string, value string")).collect()
     assert {r.file: (r.words, r.paragraphs, r.rebuilt, r.cyrillic) for r in report} == {"f": (2, 1, True, False), "g": (1, 1, True, True)}
+
+
+@pytest.mark.parametrize("word, want", [("kіtab", "kitab"), ("Уşaq", "Yşaq"), ("Јalə", "Jalə"), ("kitab", None)])
+def test_letters_of_the_other_script(word, want):
+    score, found = quality.issues([word], "Latn", 0.9)
+    assert [i["suggestion"] for i in found if i["type"] == "Layout"] == ([want] if want else []) and (score < 100) == bool(want)
+
+
+@pytest.fixture(scope="module")
+def vocabulary(spark):
+    lemmas = ["kitab", "gözəl", "dəniz", "ev", "məktəb", "gəlmək", "uç", "üç"]
+    return (
+        spark.createDataFrame([(w,) for w in lemmas], "lemma string"),
+        spark.createDataFrame([(w, 100 - i) for i, w in enumerate(lemmas)], "word string, freq long"),
+    )
+
+
+def _by_id(frame, column):
+    return {r.id: r[column] for r in frame.collect()}
+
+
+def test_texts_get_their_marks_back(spark, vocabulary):
+    rows = [(1, "Gozel ev, GOZEL-deniz; mekteb'in uc ..."), (2, ""), (3, None), (4, "  "), (5, "-".join(["gozel"] * 9)), (6, "go\u0308zəl deniz")]
+    got = _by_id(texts.normalize_texts(spark.createDataFrame(rows, "id long, text string"), "id", "text", vocabulary[0]), "normalized")
+    assert got == {1: "Gözəl ev, GÖZƏL-dəniz; məktəb'in uc ...", 2: "", 3: None, 4: "  ", 5: "-".join(["gozel"] * 9), 6: "gözəl dəniz"}
+
+
+def test_words_are_checked(spark, vocabulary):
+    want = {
+        "kitab": True, "Kitablardan": True, "gozel": True, "xyzw": False, "ev-xyzw": False, "ev-kitab": True, "x9yz": True, "q": True,
+        "dəniz'xx": True, "xyzw'da": False, "-".join(["zz"] * 9): True, "z" * 300: True,
+    }
+    words = spark.createDataFrame([(w,) for w in want] + [(None,), ("",)], "word string")
+    assert {r.word: r.correct for r in texts.check_words(words, *vocabulary).collect()} == want
+
+
+def test_texts_are_corrected(spark, vocabulary):
+    rows = [(1, "ketab, KETAB Ketab ketablardan 12 dənzi!"), (2, ""), (3, None), (4, "kitab gozel qqqqqqq")]
+    got = _by_id(texts.correct_texts(spark.createDataFrame(rows, "id long, text string"), "id", "text", *vocabulary), "corrected")
+    assert got == {1: "kitab, KİTAB Ketab kitablardan 12 dəniz!", 2: "", 3: None, 4: "kitab gozel qqqqqqq"}
+
+
+def test_keywords_and_sentiment_of_texts(spark, vocabulary):
+    rows = [(1, "Kitablar və kitabda deniz. Gozel dəniz, kitab! O, bu"), (2, "və"), (3, None)]
+    frame = spark.createDataFrame(rows, "id long, text string")
+    got = _by_id(texts.keywords(frame, "id", "text", vocabulary[0]), "keywords")
+    assert list(got) == [1] and set(got[1]) == {"kitab", "dəniz", "gözəl"}
+    lexicon = spark.createDataFrame([("gözəl", 1.0), ("ev", -0.5)], "stem string, score double")
+    told = spark.createDataFrame([(1, "gözəl kitab"), (2, "gözəl deyil"), (3, "evlər"), (4, "")], "id long, text string")
+    got = _by_id(texts.sentiment_of_texts(told, "id", "text", vocabulary[0], lexicon), "sentiment")
+    assert got == {1: "Positive", 2: "Negative", 3: "Negative"}
+
+
+def test_unknown_words_are_issues(spark, vocabulary):
+    frame = spark.createDataFrame([(1, "kitab gözəl ketab Qqqqq x7xx"), (2, None)], "id long, text string")
+    got = {r.id: r for r in quality.validate(frame, "text", "id", *vocabulary).collect()}
+    assert [(i.text, i.start, i.type, i.suggestion) for i in got[1].issues] == [("ketab", 14, "Spelling", "kitab")]
+    assert got[1].score == 90 and got[2].score == 100 and got[2].issues == []
