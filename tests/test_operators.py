@@ -150,7 +150,7 @@ def test_keywords_and_sentiment_of_texts(spark, vocabulary):
     assert list(got) == [1] and set(got[1]) == {"kitab", "dəniz", "gözəl"}
     lexicon = spark.createDataFrame([("gözəl", 1.0), ("ev", -0.5)], "stem string, score double")
     told = spark.createDataFrame([(1, "gözəl kitab"), (2, "gözəl deyil"), (3, "evlər"), (4, "")], "id long, text string")
-    got = _by_id(texts.sentiment_of_texts(told, "id", "text", vocabulary[0], lexicon), "sentiment")
+    got = _by_id(texts.sentiment_of_texts(told, "id", "text", vocabulary[0].union(spark.createDataFrame([("deyil",)], "lemma string")), lexicon), "sentiment")
     assert got == {1: "Positive", 2: "Negative", 3: "Negative"}
 
 
