@@ -23,9 +23,9 @@ WIDTH = 64
 #: Widest image row; longer payloads only get more rows.
 MOST_WIDTH = 4096
 LEVEL = 1
-SCHEMA = (
-    "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-    "media_bytes long, media_sha256 string, feature string"
+READ = (
+    "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
+    "cosine_hash binary, intact boolean"
 )
 SIDE, KEEP = 32, 8
 
@@ -156,33 +156,11 @@ def _shrunk(image: np.ndarray) -> np.ndarray:
     return image
 
 
-def cosine_hash(image: np.ndarray) -> str:
-    """64 bits in hex: which low-frequency cosine coefficients exceed their median (the mean is left out of it)."""
+def cosine_hash(image: np.ndarray) -> bytes:
+    """64 bits: which low-frequency cosine coefficients exceed their median (the mean is left out of it)."""
     low = (BASIS @ _shrunk(image) @ BASIS.T).round(6).ravel()
     bits = low > np.median(low[1:])
-    return np.packbits(bits).tobytes().hex()
-
-
-def media_row(text: str) -> tuple:
-    data = text.encode("utf-8")
-    payload = padded(data)
-    stored = encode_png(payload, width_for(len(payload)))
-    image = decode_png(stored)
-    back = image.tobytes()
-    return (
-        len(data),
-        len(back),
-        hashlib.sha256(back).hexdigest(),
-        zlib.crc32(back[-64:]),
-        len(stored),
-        hashlib.sha256(stored).hexdigest(),
-        cosine_hash(image),
-    )
-
-
-def _features(texts: list[str]) -> dict[str, list]:
-    rows = [media_row(t) for t in texts]
-    return {c.split()[0]: [r[i] for r in rows] for i, c in enumerate(SCHEMA.split(", "))}
+    return np.packbits(bits).tobytes()
 
 
 def _stored(texts: list[str]) -> dict[str, list]:
@@ -192,14 +170,48 @@ def _stored(texts: list[str]) -> dict[str, list]:
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """Each row's text as a PNG in a binary column: doc_id, n_bytes, png.  Null texts are empty texts."""
+    """Each row's text as a PNG in a binary column: doc_id, n_bytes, png.
+
+    Null and empty texts are 64 zero bytes; null ids stay null; repeated rows give repeated results; columns besides
+    doc_id and text are ignored; an empty table gives none.
+    """
     return map_texts(documents_of(docs), _stored, ["doc_id"], ["text"], "n_bytes long, png binary")
 
 
+def described(stored: bytes | None) -> tuple:
+    """What READ lists of a stored image; nulls and False where nothing is stored or the image is damaged."""
+    if stored is None:
+        return (None,) * 5 + (None, False)
+    known = (len(stored), hashlib.sha256(stored).hexdigest())
+    try:
+        image = decode_png(stored)
+    except (ValueError, struct.error, zlib.error):
+        return (None, None, None, *known, None, False)
+    back = image.tobytes()
+    return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), *known, cosine_hash(image), True
+
+
+def read_media(media: DataFrame, column: str = "png") -> DataFrame:
+    """The table with its images read back: chunk checksums tested, lines unfiltered, hashed; ``column`` itself goes.
+
+    payload_bytes, payload_sha256 and tail_crc32 (of the last 64 bytes) describe the samples, media_bytes and
+    media_sha256 the stored form; cosine_hash is binary; intact tells whether the image could be read.  Of a damaged image
+    the stored form only is described, of a null nothing; other columns, repeated rows and nulls stay as they are; columns
+    of these names are replaced; an empty table gives none.
+    """
+    names = [f.split()[0] for f in READ.split(", ")]
+
+    def features(images: list[bytes | None]) -> dict[str, list]:
+        rows = [described(i) for i in images]
+        return {n: [r[i] for r in rows] for i, n in enumerate(names)}
+
+    return map_texts(media, features, [c for c in media.columns if c not in (*names, column)], [column], READ)
+
+
 def media_features(docs: DataFrame) -> DataFrame:
-    """Store every text as PNG, read it back and describe what was read: one row per input row.
+    """Store every text as PNG, read it back and describe what was read: one row per input row, cosine_hash binary.
 
     Row for row: null and empty texts are 64 zero bytes; null ids stay null; repeated rows give repeated results;
     equal texts give equal values; columns besides doc_id and text are ignored; an empty table gives none.
     """
-    return map_texts(documents_of(docs), _features, ["doc_id"], ["text"], SCHEMA)
+    return read_media(to_media(docs))

@@ -31,7 +31,8 @@ def op3_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(table(spark, sf_dir, "documents"))
+    rows = media.media_features(table(spark, sf_dir, "documents"))
+    return rows.withColumn("feature", F.lower(F.hex("cosine_hash"))).drop("cosine_hash", "intact")
 
 
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
