@@ -2,8 +2,8 @@
 
 A licence is described by key phrases.  Documents are cut into words once; those that hold all words of some phrase
 keep their words.  Corpus-wide document frequencies of the few template words make each phrase's rarest word its
-anchor: the index maps anchors to (phrase, offset), a lookup of a file's anchors proposes starts, proposals of
-different phrases meet by relative position, and the words of each phrase are verified in place.
+anchor: the index maps anchors to (phrase, offset), a lookup of a file's anchors proposes starts, the words of each
+phrase are verified in place, and postings of a licence's phrases are intersected by where each puts the template's start.
 """
 
 from __future__ import annotations
@@ -22,30 +22,32 @@ BASE = {
     "cc-by": ["cc by"],
     "mit": ["mit license"],
 }
-#: Further licences and their mandatory key phrases, in the order in which they stand.
+#: Further licences, their mandatory key phrases and at which word of the template each begins.
 MORE = {
-    "gpl-3": ["gnu general public license", "version 3"],
-    "apache-2": ["licensed under the apache license", "version 2 0"],
-    "cc-by-nc": ["cc by nc"],
-    "cc-by-nd": ["cc by nd"],
-    "cc-by-sa": ["cc by sa"],
-    "mit-text": [
-        "permission is hereby granted free of charge",
-        "the above copyright notice and this permission notice shall be included",
-        "the software is provided as is",
-    ],
-    "bsd": [
-        "redistribution and use in source and binary forms",
-        "provided that the following conditions are met",
-    ],
-    "isc": ["permission to use copy modify and or distribute this software"],
-    "mpl": ["mozilla public license"],
-    "lgpl": ["gnu lesser general public license"],
-    "agpl": ["gnu affero general public license"],
-    "creative-commons": ["creative commons attribution"],
-    "unlicense": ["this is free and unencumbered software"],
+    "gpl-3": {"gnu general public license": 0, "version 3": 4},
+    "apache-2": {"licensed under the apache license": 0, "version 2 0": 5},
+    "cc-by-nc": {"cc by nc": 0},
+    "cc-by-nd": {"cc by nd": 0},
+    "cc-by-sa": {"cc by sa": 0},
+    "mit-text": {
+        "permission is hereby granted free of charge": 0,
+        "the above copyright notice and this permission notice shall be included": 67,
+        "the software is provided as is": 87,
+    },
+    "bsd": {
+        "redistribution and use in source and binary forms": 0,
+        "provided that the following conditions are met": 14,
+    },
+    "isc": {"permission to use copy modify and or distribute this software": 0},
+    "mpl": {"mozilla public license": 0},
+    "lgpl": {"gnu lesser general public license": 0},
+    "agpl": {"gnu affero general public license": 0},
+    "creative-commons": {"creative commons attribution": 0},
+    "unlicense": {"this is free and unencumbered software": 0},
 }
-TEMPLATES = BASE | MORE
+#: Two phrases belong to one licence text if the template starts that they propose are at most so many words apart.
+SLACK = 16
+TEMPLATES = {label: dict.fromkeys(phrases, 0) for label, phrases in BASE.items()} | MORE
 PHRASES = sorted({p for phrases in TEMPLATES.values() for p in phrases})
 VOCABULARY = sorted({w for p in PHRASES for w in p.split()})
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -83,8 +85,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, places.
 
     ``places`` lists (phrase, start) of every verified phrase, by word number.  A licence gets its label when all its key
-    phrases are there, later ones after the first start of the first; the score is the largest share of a licence's
-    phrases, weighted by their words' inverse document frequencies, that is there.  Null and empty texts have no words,
+    phrases are there and, for some place of the first, each other one proposes a template start within SLACK words of
+    it; the score is the largest share of a licence's phrases, weighted by their words' inverse document frequencies, that
+    is there.  Null and empty texts have no words,
     empty labels and score 0; null ids and repeated rows come back as they are; columns besides doc_id and text are
     ignored; an empty table gives an empty result.
     """
@@ -122,7 +125,7 @@ def _report(column: dict[str, str], weight: dict[str, float]) -> list[Column]:
             F.filter(F.array(*[F.when(there[x], F.lit(x)) for x in sorted(labels)]), lambda x: x.isNotNull()), ","
         )
 
-    def share(phrases: list[str]) -> Column:
+    def share(phrases: dict[str, int]) -> Column:
         each = {p: sum(weight[w] for w in p.split()) for p in phrases}
         got = sum((F.when(F.size(column[p]) > 0, F.lit(each[p])).otherwise(F.lit(0.0)) for p in phrases), F.lit(0.0))
         return got / F.lit(sum(each.values()))
@@ -134,18 +137,26 @@ def _report(column: dict[str, str], weight: dict[str, float]) -> list[Column]:
         names(BASE).alias("base_labels"),
         names(TEMPLATES).alias("labels"),
         F.round(F.greatest(*[share(p) for p in TEMPLATES.values()]), 6).alias("score"),
-        F.concat(
-            *[F.transform(column[p], lambda s, p=p: F.struct(F.lit(p).alias("phrase"), s.alias("start"))) for p in PHRASES]
-        ).alias("places"),
+        F.concat(*[_placed(p, column[p]) for p in PHRASES]).alias("places"),
     ]
 
 
-def _all_there(phrases: list[str], column: dict[str, str]) -> Column:
-    first, *later = [F.col(column[p]) for p in phrases]
-    condition = F.size(first) > 0
-    for starts in later:
-        condition = condition & F.coalesce(F.array_max(starts) > F.array_min(first), F.lit(False))
-    return condition
+def _proposed_near(starts: str, offset: int) -> Column:
+    """All places within SLACK words of a template start that the starts of a phrase propose."""
+    return F.flatten(F.transform(starts, lambda s: F.sequence(s - F.lit(offset + SLACK), s - F.lit(offset - SLACK))))
+
+
+def _placed(phrase: str, starts: str) -> Column:
+    return F.transform(starts, lambda s: F.struct(F.lit(phrase).alias("phrase"), s.alias("start")))
+
+
+def _all_there(phrases: dict[str, int], column: dict[str, str]) -> Column:
+    """Whether postings of all phrases meet; every step is linear in the number of places."""
+    (first, _), *later = phrases.items()
+    meeting = F.col(column[first])
+    for phrase, offset in later:
+        meeting = F.array_intersect(meeting, _proposed_near(column[phrase], offset))
+    return F.size(meeting) > 0
 
 
 def oracle_sql() -> str:
@@ -163,10 +174,12 @@ def oracle_sql() -> str:
             f"AS {column[p]}"
         )
 
-    def there(phrases: list[str]) -> str:
-        first, *later = [column[p] for p in phrases]
-        more = "".join(f" AND coalesce(list_max({x}) > list_min({first}), false)" for x in later)
-        return f"(len({first}) > 0{more})"
+    def there(phrases: dict[str, int]) -> str:
+        (first, _), *later = phrases.items()
+        met = " AND ".join(
+            f"len(list_filter({column[p]}, lambda t: abs(t - {o} - s) <= {SLACK})) > 0" for p, o in later
+        )
+        return f"(len(list_filter({column[first]}, lambda s: {met or 'true'})) > 0)"
 
     def names(labels) -> str:
         each = ", ".join(f"CASE WHEN {there(TEMPLATES[x])} THEN '{x}' END" for x in sorted(labels))
@@ -175,7 +188,7 @@ def oracle_sql() -> str:
     def mass(p: str) -> str:
         return "(" + " + ".join(f"idf['{w}']" for w in p.split()) + ")"
 
-    def share(phrases: list[str]) -> str:
+    def share(phrases: dict[str, int]) -> str:
         got = " + ".join(f"CASE WHEN len({column[p]}) > 0 THEN {mass(p)} ELSE 0 END" for p in phrases)
         return f"({got}) / ({' + '.join(map(mass, phrases))})"
 
