@@ -40,7 +40,7 @@ def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), limit=2048)
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), limit=2048, chunk=1 << 13)
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

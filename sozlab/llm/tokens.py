@@ -1,10 +1,10 @@
 """Token counts by overlap resynchronisation.
 
-A huge text is encoded in overlapping chunks; each chunk gives the offsets at which its tokens' pieces begin.  Two
+A long text (over 8192 characters unless told otherwise) is encoded in overlapping chunks; each chunk gives the offsets at which its tokens' pieces begin.  Two
 neighbours are spliced at an offset at which both begin a piece and at which a piece begins whatever stands before
 (after white space, at a digit, between a letter and a symbol): from there on pieces depend only on what follows, so
 the counts before it from the left chunk and after it from the right one add up to the whole text's.  If an overlap
-holds no such offset it is widened.  Ordinary texts are one chunk.  Texts with code points that the Unicode tables here
+holds no such offset it is widened.  Shorter texts are one chunk.  Texts with code points that the Unicode tables here
 do not assign go to the tokenizers library itself, whose tables may be newer.
 """
 
@@ -30,7 +30,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + bpe.SPACES + r"\p{L}
 PROVEN = (
     rf"(?<=[{bpe.SPACES}\p{{N}}])(?=[^{bpe.SPACES}])|(?=\p{{N}})|(?<=\p{{L}})(?=[^{bpe.SPACES}\p{{L}}\p{{N}}])"
 )
-CHUNK, OVERLAP = 1 << 16, 1 << 10
+CHUNK, OVERLAP = 1 << 13, 1 << 8
 #: Control characters that Python counts as white space and the tokenizer does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -168,15 +168,18 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens).
 
+    Texts of over ``chunk`` characters are encoded in chunks that share ``overlap`` characters, or more where that many
+    hold no offset to splice at; the counts do not depend on either.
+
     Null and empty texts have 0 bytes and 0 tokens; strings of added tokens inside a text count as one token each;
     null ids and repeated rows come back as they are; columns besides doc_id and text are ignored.
     """
 
     def counts(texts: list[str]) -> dict[str, list]:
-        n = [counter(path).count(t) for t in texts]
+        n = [counter(path).count(t, chunk, overlap) for t in texts]
         size = [len(t.encode("utf-8")) for t in texts]
         return {"n_bytes": size, "n_tokens": n, "over_limit": [x > limit for x in n]}
 
