@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from .rows import map_rows
 
 MOST_CHUNKS, SHORT = 10_000, 10
+DEFAULT_SIZE, DEFAULT_OVERLAP = 512, 50
 CHUNKS = "array<struct<text:string,start:int,end:int,index:int>>"
 #: Abbreviations whose dot ends no sentence.
 ABBREVIATIONS = "prof|dos|ak|dr|az|ar|vb|km|kq|sm|min"
@@ -89,3 +90,13 @@ def with_chunks(frame: DataFrame, column: str, size: int, overlap: int, kind: st
     """The table with an array of chunks of a text; null for null, empty text or a size below 1."""
     cut = {"recursive": recursive, "sentence": by_sentence}[kind]
     return map_rows(frame, [column], f"{name} {CHUNKS}", lambda t: cut(t, size, overlap) if t else None)
+
+
+def with_chunk_texts(frame: DataFrame, column: str, name: str = "chunks") -> DataFrame:
+    """The table with the texts of recursive chunks of the default size."""
+
+    def texts(text: str | None) -> list[str] | None:
+        made = recursive(text, DEFAULT_SIZE, DEFAULT_OVERLAP) if text else None
+        return made and [c["text"] for c in made]
+
+    return map_rows(frame, [column], f"{name} array<string>", texts)

@@ -308,3 +308,19 @@ def extract(text: str | None, ref: datetime | date | None) -> list[dict] | None:
 def with_datetimes(frame: DataFrame, text: str, ref: str, name: str = "datetimes") -> DataFrame:
     """The table with the moments of a text column, resolved against a timestamp column."""
     return map_rows(frame, [text, ref], f"{name} {RESULTS}", extract)
+
+
+def parsed(text: str | None, ref: datetime | date | None) -> tuple[dict | None, str | None]:
+    """The first result of a text, or why there is none."""
+    if not text:
+        return None, "empty input"
+    if len(text.encode("utf-8")) > MOST_BYTES:
+        return None, f"input exceeds {MOST_BYTES} bytes"
+    results = extract(text, ref)
+    return (results[0], None) if results else (None, "unrecognized input")
+
+
+def with_moment(frame: DataFrame, text: str, ref: str, name: str = "moment", error: str = "moment_error") -> DataFrame:
+    """The table with the one moment or duration that a text column gives, or the reason why it gives none."""
+    kind = RESULTS.removeprefix("array<").removesuffix(">")
+    return map_rows(frame, [text, ref], f"{name} {kind}, {error} string", parsed)

@@ -266,3 +266,14 @@ def analyse_words(words: DataFrame, dictionary: DataFrame, column: str = "word")
     known = asked.join(dictionary.select("lemma").distinct(), "lemma", "left_semi").groupBy("word").agg(F.collect_set("lemma").alias("known"))
     joined = distinct.join(known, "word", "left")
     return map_rows(joined, ["word", "known"], f"stem string, analyses {ANALYSES}, inflected boolean", _analysed).drop("known")
+
+
+def stem_parts_of_speech(words: DataFrame, dictionary: DataFrame, column: str = "word") -> DataFrame:
+    """Distinct lowered words with the part-of-speech letter of the dictionary (pos, lemma): word, pos; null if unknown.
+
+    Of several letters for one lemma the first counts, by ``ord`` where the dictionary has that column, else by letter.
+    """
+    order = F.col("ord") if "ord" in dictionary.columns else F.col("pos")
+    letters = dictionary.groupBy(F.col("lemma").alias("word")).agg(F.min_by("pos", order).alias("pos"))
+    distinct = words.select(F.col(column).alias("word")).where("word is not null and word != ''").distinct()
+    return distinct.join(letters, "word", "left").select("word", "pos")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,67 +17,85 @@ MOST_BYTES, MOST_ISSUES, SURE = 1 << 20, 1000, 0.5
 #: Letters of the two scripts that look alike.
 LATIN_TWINS, CYRILLIC_TWINS = "aeopcxyAEOPCXYiIjJ", "аеорсхуАЕОРСХУіІјЈ"
 ISSUES = "array<struct<text:string,start:int,end:int,type:string,severity:string,message:string,suggestion:string>>"
-POINTS = {"Error": 10, "Warning": 3, "Info": 1}
-
-
-def _script(word: str, cyrillic: bool) -> list[bool]:
-    return [("Ѐ" <= c <= "ӿ") == cyrillic for c in word if c.isalpha()]
+POINTS = {"error": 10, "warning": 3, "info": 1}
+#: What the issues say.
+UNKNOWN, SPACES, BEFORE, MISSING, REPEATED = (
+    "unknown word", "multiple spaces", "space before punctuation", "missing space after punctuation", "repeated punctuation",
+)
+TWIN, FOREIGN = "contains characters from wrong script (possible keyboard layout error)", "text in different script"
+TOUCHES, ENDS, ELLIPSIS = frozenset(",.;:!?"), frozenset(".!?"), "..."
+SCRIPTS = {
+    "Latn": (str.maketrans(CYRILLIC_TWINS, LATIN_TWINS), regex.compile(r"\p{Cyrillic}")),
+    "Cyrl": (str.maketrans(LATIN_TWINS, CYRILLIC_TWINS), regex.compile(r"\p{Latin}")),
+}
+PUNCTUATION = regex.compile(r"\p{P}")
+
+
+def _kind(token: str) -> str:
+    """The class of a token by how it begins; addresses are neither words nor punctuation."""
+    first = token[0]
+    if first.isspace():
+        return "space"
+    if first.isalpha():
+        return "other" if "@" in token or "://" in token else "word"
+    if first in "0123456789":
+        return "other" if "@" in token else "number"
+    return "mark" if PUNCTUATION.match(first) and "@" not in token else "other"
+
+
+def _spacing(tokens: list[str], kinds: list[str]):
+    """(first, last, severity, message, suggestion) of spacing and repetition: at most one at a token."""
+    run = 0
+    for i, (token, kind) in enumerate(zip(tokens, kinds)):
+        after = tokens[i + 1] if i + 1 < len(tokens) else ""
+        starts = i == 0 or tokens[i - 1] != token
+        if kind == "space":
+            if token.count(" ") > 1:
+                yield i, i, "warning", SPACES, " "
+            elif after in TOUCHES:
+                yield i, i, "warning", BEFORE, ""
+        elif kind == "mark":
+            if token in ENDS and after and kinds[i + 1] in ("word", "number"):
+                yield i, i, "warning", MISSING, token + " "
+            elif starts and after == token:
+                run = i + 1
+                while run + 1 < len(tokens) and tokens[run + 1] == token:
+                    run += 1
+                if token * (run - i + 1) != ELLIPSIS:
+                    yield i, run, "info", REPEATED, token
+
+
+def _scripts(tokens: list[str], kinds: list[str], script: str):
+    """(place, kind, severity, message, suggestion) of twins of the other script's letters, then of whole foreign words."""
+    proper, foreign = SCRIPTS[script]
+    words = [(i, t) for i, (t, k) in enumerate(zip(tokens, kinds)) if k == "word"]
+    for i, token in words:
+        if any(ord(c) in proper for c in token):
+            yield i, "layout", "error", TWIN, token.translate(proper)
+    for i, token in words:
+        letters = [c for c in token if c.isalpha()]
+        if all(map(foreign.match, letters)) and not all(ord(c) in proper for c in letters):
+            yield i, "mixed_script", "info", FOREIGN, ""
 
 
 def issues(tokens: list[str] | None, script: str | None, confidence: float | None, misspelt: list[dict] | None = None) -> tuple[int, list]:
     """(score, issues) of a text by its tokens, which tile it; an empty text has none.  ``misspelt``: word and suggestion."""
     if not tokens:
         return 100, []
-    wrong = {m["word"]: m["suggestion"] or "" for m in misspelt or ()}
-    found, at = [], 0
-    places = []
-    for token in tokens:
-        places.append(at)
-        at += len(token.encode("utf-8"))
-
-    def add(i: int, kind: str, severity: str, message: str, suggestion: str = "", upto: int | None = None) -> None:
-        end = i if upto is None else upto
-        shown = "".join(tokens[i : end + 1])
-        found.append((shown, places[i], places[end] + len(tokens[end].encode("utf-8")), kind, severity, message, suggestion))
-
-    def is_word(i: int) -> bool:
-        return i < len(tokens) and tokens[i][0].isalpha() and "@" not in tokens[i] and "://" not in tokens[i]
-
-    for i, token in enumerate(tokens if wrong and script != "Cyrl" else []):
-        if is_word(i) and token in wrong and not any(c.isdigit() for c in token):
-            add(i, "Spelling", "Error", "unknown word", wrong[token])
-    for i, token in enumerate(tokens):
-        if token.isspace():
-            if len(token) > 1 and "\n" not in token and 0 < i < len(tokens) - 1:
-                add(i, "Punctuation", "Warning", "multiple spaces", " ")
-            elif i + 1 < len(tokens) and tokens[i + 1] in ",.;:!?" and i:
-                add(i, "Punctuation", "Warning", "space before punctuation")
-        elif token in ".!?" and i + 1 < len(tokens) and (is_word(i + 1) or tokens[i + 1][0].isdigit()):
-            add(i, "Punctuation", "Warning", "missing space after punctuation", token + " ")
-    i = 0
-    while i < len(tokens):
-        end = i
-        while end + 1 < len(tokens) and tokens[end + 1] == tokens[i] and not tokens[i][0].isalnum() and not tokens[i].isspace():
-            end += 1
-        if end > i and tokens[i] in ".,;:!?-" and not (tokens[i] == "." and end - i == 2):
-            add(i, "Punctuation", "Info", "repeated punctuation", tokens[i], upto=end)
-        i = end + 1
-    if script and (confidence or 0) >= SURE:
-        cyrillic = script == "Cyrl"
-        twins, proper = (LATIN_TWINS, CYRILLIC_TWINS) if cyrillic else (CYRILLIC_TWINS, LATIN_TWINS)
-        for i, token in enumerate(tokens):
-            if not is_word(i):
-                continue
-            own = _script(token, cyrillic)
-            swapped = token.translate(str.maketrans(twins, proper))
-            if not all(own) and all(_script(swapped, cyrillic)):
-                add(i, "Layout", "Error", "letters of the other script", swapped)
-            elif not any(own):
-                add(i, "MixedScript", "Info", "word in the other script")
-    kept = found[:MOST_ISSUES]
-    kept.sort(key=lambda x: (x[1], -POINTS[x[4]]))
+    kinds = [_kind(t) for t in tokens]
+    wrong = {m["word"]: m["suggestion"] or "" for m in misspelt or ()} if script != "Cyrl" else {}
+    found = [
+        (i, i, "spelling", "error", UNKNOWN, wrong[t])
+        for i, t in enumerate(tokens) if t in wrong and kinds[i] == "word" and not any(map(str.isdigit, t))
+    ]
+    found += [(i, j, "punctuation", *rest) for i, j, *rest in _spacing(tokens, kinds)]
+    if script in SCRIPTS and (confidence or 0) >= SURE:
+        found += [(i, i, *rest) for i, *rest in _scripts(tokens, kinds, script)]
+    kept = sorted(found[:MOST_ISSUES], key=lambda x: (x[0], -POINTS[x[3]]))
+    edges = [0, *itertools.accumulate(len(t.encode("utf-8")) for t in tokens)]
     names = ("text", "start", "end", "type", "severity", "message", "suggestion")
-    return max(0, 100 - sum(POINTS[x[4]] for x in kept)), [dict(zip(names, x)) for x in kept]
+    shown = [dict(zip(names, ("".join(tokens[i : j + 1]), edges[i], edges[j + 1], *rest))) for i, j, *rest in kept]
+    return max(0, 100 - sum(POINTS[x[3]] for x in kept)), shown
 
 
 def misspelt_words(frame: DataFrame, key: str, column: str, dictionary: DataFrame, frequencies: DataFrame) -> DataFrame:
@@ -106,5 +127,5 @@ def validate(frame: DataFrame, column: str, key: str | None = None, dictionary:
 
 
 def is_valid(issues_column):
-    """No issue of the severity Error."""
-    return ~F.exists(issues_column, lambda i: i["severity"] == "Error")
+    """No issue of the severity error."""
+    return ~F.exists(issues_column, lambda i: i["severity"] == "error")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens, translit
-from ..functions.casing import az_lower
+from ..functions.casing import az_lower, compose_nfc
+from ..operators import morphology, texts
 
 LEAST_CORPUS, LEAST_LLR = 50, 10.83
 #: Parts of speech of a dump and their letters.
@@ -87,29 +88,47 @@ def _g(*cells: Column) -> Column:
     return sum((F.when(c > 0, c * F.ln(c)).otherwise(F.lit(0.0)) for c in cells), F.lit(0.0))
 
 
-def mine_lexicon(stems: DataFrame, classes: DataFrame, lexicon: DataFrame, least_docs: int = 5, least_share: int = 3, top: int = 500) -> DataFrame:
-    """Stems that tell positive from negative reviews, by likelihood ratio: rank, stem, pos, neg, llr, score.
+def mine_lexicon(stems: DataFrame, classes: DataFrame, lexicon: DataFrame, least_docs: int = 10, least_class: int = 5, top: int = 500) -> DataFrame:
+    """Stems that tell positive from negative reviews, by likelihood ratio: rank, stem, pos, neg, neu, llr, score.
 
-    ``stems`` has doc_id and stem; ``classes`` has doc_id and class.
+    ``stems`` has doc_id and stem; ``classes`` has doc_id and class.  A stem needs ``least_docs`` reviews in all and
+    ``least_class`` in the commoner of the two classes.
     """
     docs = stems.select("doc_id", "stem").distinct().join(classes, "doc_id")
-    totals = classes.agg(
-        F.count_if(F.col("class") == "positive").cast("double").alias("all_pos"), F.count_if(F.col("class") == "negative").cast("double").alias("all_neg")
-    )
-    counts = docs.groupBy("stem").agg(
-        F.count_if(F.col("class") == "positive").cast("double").alias("pos"), F.count_if(F.col("class") == "negative").cast("double").alias("neg")
-    )
-    fresh = counts.join(lexicon.select("stem").distinct(), "stem", "left_anti").join(F.broadcast(totals))
-    a, b = F.col("pos"), F.col("neg")
+    is_class = lambda c: F.count_if(F.col("class") == c)
+    totals = classes.agg(is_class("positive").cast("double").alias("all_pos"), is_class("negative").cast("double").alias("all_neg"))
+    counts = docs.groupBy("stem").agg(is_class("positive").alias("pos"), is_class("negative").alias("neg"), is_class("neutral").alias("neu"))
+    fresh = counts.join(lexicon.select("stem").distinct(), "stem", "left_anti")
+    enough = (F.col("pos") + F.col("neg") + F.col("neu") >= least_docs) & (F.greatest("pos", "neg") >= least_class)
+    a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
     c, d = F.col("all_pos") - a, F.col("all_neg") - b
     llr = 2 * (_g(a, b, c, d) - _g(a + b, c + d, a + c, b + d) + _g(a + b + c + d))
     share = (a - b) / (a + b)
-    rated = fresh.where((a + b >= least_docs) & (F.greatest(a, b) >= least_share)).select(
-        "stem", a.cast("long").alias("pos"), b.cast("long").alias("neg"), F.round(llr, 4).alias("llr"), F.round(F.round(share * 0.9 / 0.05) * 0.05, 2).alias("score")
+    rated = fresh.where(enough).join(F.broadcast(totals)).select(
+        "stem", "pos", "neg", "neu", F.round(llr, 4).alias("llr"), F.round(F.round(share * 0.9 / 0.05) * 0.05, 2).alias("score")
     )
     order = Window.orderBy(F.desc("llr"), "stem")
     best = rated.where(F.col("llr") >= LEAST_LLR).orderBy(F.desc("llr"), "stem").limit(top)
-    return best.withColumn("rank", F.row_number().over(order)).select("rank", "stem", "pos", "neg", "llr", "score")
+    return best.withColumn("rank", F.row_number().over(order)).select("rank", "stem", "pos", "neg", "neu", "llr", "score")
+
+
+def review_stems(reviews: DataFrame, key: str, column: str, dictionary: DataFrame) -> DataFrame:
+    """Distinct stems of each review: key, stem (lowered).
+
+    Texts are composed, words without a letter left out, the marks of the others restored before they are stemmed.
+    """
+    composed = reviews.select(key, compose_nfc(F.col(column)).alias("_text"))
+    rows = composed.select(key, F.explode(tokens.words(F.col("_text"))).alias("word")).where(F.col("word").rlike(r"\p{L}")).distinct()
+    restored = texts.restore_words(rows, dictionary)
+    stems = morphology.analyse_words(restored, dictionary, "restored").select(F.col("word").alias("restored"), az_lower(F.col("stem")).alias("stem"))
+    return rows.join(restored, "word").join(stems, "restored").select(key, "stem").where("stem != ''").distinct()
+
+
+def predicted_classes(reviews: DataFrame, key: str, stems: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Each review's class by the mean score of its stems in a lexicon: key, predicted; neutral where none is listed."""
+    scored = stems.join(lexicon.groupBy("stem").agg(F.max("score").alias("score")), "stem").groupBy(key).agg(F.avg("score").alias("mean"))
+    told = F.when(F.col("mean") > 0, "positive").when(F.col("mean") < 0, "negative").otherwise("neutral")
+    return reviews.select(key).join(scored, key, "left").select(key, told.alias("predicted"))
 
 
 def clean_reviews(reviews: DataFrame, order: str) -> DataFrame:
@@ -140,3 +159,47 @@ def corpus_report(corpus: DataFrame) -> DataFrame:
     ratio = rows.withColumn("ratio", F.try_divide("sentences", "paragraphs"))
     median = ratio.agg(F.expr("percentile(ratio, 0.5)").alias("median"))
     return ratio.join(F.broadcast(median)).withColumn("outlier", F.col("ratio") > 3 * F.col("median")).drop("median")
+
+
+def first_divergence(original: Column, rebuilt: Column) -> Column:
+    """Where two strings first differ: struct of pos (byte), got and want (their bytes in hex, 00 past an end); null if equal."""
+    a, b = F.hex(F.encode(original, "UTF-8")), F.hex(F.encode(rebuilt, "UTF-8"))
+    at = lambda s, i: F.substring(s, 2 * i + 1, F.lit(2))
+    shorter = F.least(F.length(a), F.length(b)).try_cast("int") / 2
+    places = F.sequence(F.lit(0), shorter.cast("int"))
+    pos = F.get(F.filter(places, lambda i: (i == shorter) | (at(a, i) != at(b, i))), F.lit(0))
+    byte = lambda s: F.rpad(at(s, pos), 2, "0")
+    return F.when(original != rebuilt, F.struct(pos.alias("pos"), byte(b).alias("got"), byte(a).alias("want")))
+
+
+def reconstruction_failures(corpus: DataFrame) -> DataFrame:
+    """Lines that their tokens do not rebuild, as they are or turned to Latin: file, kind, pos, got, want."""
+    latin = translit.cyrillic_to_latin(F.col("value"))
+    pairs = F.array(
+        F.struct(F.lit("RECON_FAIL").alias("kind"), F.col("value").alias("original")),
+        F.when(F.col("value").rlike(r"[\x{400}-\x{4FF}]"), F.struct(F.lit("TRANSLIT_RECON_FAIL").alias("kind"), latin.alias("original"))),
+    )
+    rows = corpus.where("value != ''").select("file", F.explode(F.filter(pairs, lambda p: p.isNotNull())).alias("p")).select("file", "p.*")
+    rebuilt = rows.withColumn("rebuilt", F.array_join(tokens.token_texts(F.col("original")), "")).where("original != rebuilt")
+    return rebuilt.select("file", "kind", first_divergence(F.col("original"), F.col("rebuilt")).alias("d")).select("file", "kind", "d.*")
+
+
+def token_type_shares(corpus: DataFrame) -> DataFrame:
+    """Tokens of each type over a corpus and their share in percent: type, n, percent; types that are missing have none."""
+    types = ["Word", "Number", "Punctuation", "Space", "Symbol", "URL", "Email"]
+    each = F.transform(tokens.token_texts(F.col("value")), tokens.token_type)
+    counted = corpus.select(F.explode(each).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    listed = corpus.sparkSession.createDataFrame([(t,) for t in types], "type string")
+    shown = listed.join(F.broadcast(counted), "type", "left").join(F.broadcast(total)).withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    return shown.select("type", "n", F.round(F.coalesce(F.try_divide(100.0 * F.col("n"), F.col("total")), F.lit(0.0)), 1).alias("percent"))
+
+
+def corpus_totals(report: DataFrame) -> DataFrame:
+    """One row of a corpus report (``corpus_report``): files, bytes, rebuilt and not, outliers, Cyrillic files and their rebuilding."""
+    said = lambda c, name: F.count_if(c).alias(name)
+    rebuilt, cyrillic, latin = F.col("rebuilt"), F.col("cyrillic"), F.col("translit_rebuilt")
+    return report.agg(
+        F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), said(rebuilt, "rebuilt"), said(~rebuilt, "not_rebuilt"),
+        said(F.col("outlier"), "outliers"), said(cyrillic, "cyrillic"), said(cyrillic & latin, "translit_rebuilt"), said(cyrillic & ~latin, "translit_not_rebuilt"),
+    )

@@ -403,10 +403,10 @@ def word_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def spelling_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Common words of the documents, each without its third letter, and what they may have been."""
-    freq = _document_words(spark, sf_dir).where("length(stem) between 4 and 12").groupBy(F.col("stem").alias("word")).agg(F.count("*").alias("freq")).where("freq >= 20")
+    """Every word of the documents without its third letter, and the three best of what it may have been."""
+    freq = _document_words(spark, sf_dir).groupBy(F.col("stem").alias("word")).agg(F.count("*").alias("freq"))
     wrong = freq.select(F.concat(F.col("word").substr(1, 2), F.expr("substring(word, 4)")).alias("word"))
-    return lexical.suggestions(wrong, freq, 1).where("rank <= 3")
+    return lexical.suggestions(wrong, freq).where("rank <= 3")
 
 
 def _vocabulary(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -482,6 +482,86 @@ def sentiment_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.sentiment_of_texts(_sentence_texts(spark, sf_dir), "doc_id", "text", dictionary, lexicon)
 
 
+_FLAWS = [
+    (" su", 100, "", ""), ("  su", 97, "punctuation", "multiple spaces"), (" , su", 97, "punctuation", "space before punctuation"),
+    (".Su", 97, "punctuation", "missing space after punctuation"), ("!!", 99, "punctuation", "repeated punctuation"), ("...", 100, "", ""),
+    (" k\u0456tab", 90, "layout", quality.TWIN), (" \u0442\u0434\u0436", 99, "mixed_script", quality.FOREIGN),
+]
+
+
+@query(f"""
+WITH f AS (SELECT o_orderkey, CAST(o_orderkey % {len(_FLAWS)} AS INTEGER) + 1 AS i FROM orders)
+SELECT o_orderkey, CAST({[x[1] for x in _FLAWS]}[i] AS INTEGER) AS score, {[x[2] for x in _FLAWS]}[i] AS type, {[x[3] for x in _FLAWS]}[i] AS message FROM f
+""")
+def flawed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sentence with one flaw or none: its score and issue."""
+    text = F.concat(F.lit("Bu gözəl kitab məktəbdədir"), _pick([x[0] for x in _FLAWS], F.col("o_orderkey")))
+    judged = quality.validate(_table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "text")
+    joined = lambda field: F.array_join(F.transform("issues", lambda i: i[field]), ",")
+    return judged.select("o_orderkey", "score", joined("type").alias("type"), joined("message").alias("message"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 3 = 1 THEN '2 saat' END AS text,
+       CASE WHEN o_orderkey % 3 = 0 THEN CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) WHEN o_orderkey % 3 = 1 THEN CAST(o_orderdate AS TIMESTAMP) END AS time,
+       CASE WHEN o_orderkey % 3 = 1 THEN 7200 END AS duration_s, CASE WHEN o_orderkey % 3 = 2 THEN 'unrecognized input' END AS error FROM orders
+""")
+def parsed_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One moment, duration or error of each text."""
+    key = F.col("o_orderkey") % 3
+    text = F.when(key == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(key == 1, "2 saat").otherwise("heç nə")
+    made = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", text.alias("t"))
+    found = datetimes.with_moment(made, "t", "o_orderdate")
+    return found.select("o_orderkey", "moment.text", "moment.time", "moment.duration_s", F.col("moment_error").alias("error"))
+
+
+@query(f"""
+SELECT word, CASE word {' '.join(f"WHEN '{w}' THEN '{p}'" for w, p in [('kitab', 'N'), ('gəl', 'V'), ('gözəl', 'A')])} END AS pos
+FROM (SELECT DISTINCT {_sql_pick(['kitab', 'gəl', 'gözəl', 'naməlum'], 'o_orderkey')} AS word FROM orders)
+""")
+def stem_parts_of_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dictionary = spark.createDataFrame([("N", "kitab"), ("V", "gəl"), ("A", "gözəl"), ("V", "kitab")], "pos string, lemma string")
+    made = _table(spark, sf_dir, "orders").select(_pick(["kitab", "gəl", "gözəl", "naməlum"], F.col("o_orderkey")).alias("word"))
+    return morphology.stem_parts_of_speech(made, dictionary)
+
+
+@query(f"""
+WITH s AS (SELECT o_orderkey, {_sql_pick(['kitab', 'gözəl kitab', 'pis kitab', 'gözəl pis', '12 %'], 'o_orderkey')} AS t FROM orders)
+SELECT o_orderkey, CASE WHEN t = 'pis kitab' THEN 'negative' WHEN contains(t, 'gözəl') THEN 'positive' ELSE 'neutral' END AS predicted FROM s
+""")
+def predicted_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of reviews by the lexicon; marks are left out in the texts and restored, suffixes cut."""
+    made = _table(spark, sf_dir, "orders").select("o_orderkey", _pick(["kitablar", "gozel kitabda", "pis kitab", "gözəl pis", "12 %"], F.col("o_orderkey")).alias("text"))
+    dictionary = spark.createDataFrame([("kitab",), ("gözəl",), ("pis",)], "lemma string")
+    stems = jobs.review_stems(made, "o_orderkey", "text", dictionary)
+    return jobs.predicted_classes(made, "o_orderkey", stems, spark.createDataFrame(LEXICON, "stem string, score double"))
+
+
+@query("""
+WITH t AS (SELECT lower(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')) AS s FROM conversations),
+n AS (SELECT sum(len(regexp_extract_all(s, '[a-z]+'))) AS w, sum(len(regexp_extract_all(s, ' +'))) AS b FROM t),
+k AS (SELECT unnest(['Word', 'Number', 'Punctuation', 'Space', 'Symbol', 'URL', 'Email']) AS type)
+SELECT type, CAST(CASE type WHEN 'Word' THEN w WHEN 'Space' THEN b ELSE 0 END AS BIGINT) AS n,
+       round(CASE type WHEN 'Word' THEN 100.0 * w / (w + b) WHEN 'Space' THEN 100.0 * b / (w + b) ELSE 0.0 END, 1) AS percent FROM k, n
+""")
+def token_type_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = F.lower(F.regexp_replace("text", "[^A-Za-z ]", " "))
+    return jobs.token_type_shares(_table(spark, sf_dir, "conversations").select(plain.alias("value")))
+
+
+@query(f"""
+WITH t AS (SELECT p_partkey, {_sql_pick(WORDS, 'p_partkey')} AS a, {_sql_pick(WORDS, '(p_partkey + p_partkey // 10)')} AS b FROM part),
+x AS (SELECT DISTINCT a, b, hex(encode(a)) AS p, hex(encode(b)) AS q FROM t),
+y AS (SELECT *, list_min(list_filter(range(0, least(len(p), len(q)) // 2 + 1), lambda i: i = least(len(p), len(q)) // 2 OR p[2 * i + 1 : 2 * i + 2] <> q[2 * i + 1 : 2 * i + 2])) AS i FROM x WHERE a <> b)
+SELECT a, b, CAST(i AS INTEGER) AS pos, rpad(q[2 * i + 1 : 2 * i + 2], 2, '0') AS got, rpad(p[2 * i + 1 : 2 * i + 2], 2, '0') AS want FROM y
+""")
+def first_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where pairs of words part."""
+    key = F.col("p_partkey")
+    pairs = _table(spark, sf_dir, "part").select(_pick(WORDS, key).alias("a"), _pick(WORDS, key + F.floor(key / 10)).alias("b")).distinct()
+    return pairs.where("a != b").select("a", "b", jobs.first_divergence(F.col("a"), F.col("b")).alias("d")).select("a", "b", "d.*")
+
+
 @query()
 def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.validate(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
@@ -519,11 +599,11 @@ def review_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH w AS (SELECT DISTINCT doc_id, stem FROM ({_DOCUMENT_WORDS})),
 k AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'positive' WHEN doc_id % 3 = 1 THEN 'negative' ELSE 'neutral' END AS class FROM documents),
 t AS (SELECT CAST(count(*) FILTER (WHERE class = 'positive') AS DOUBLE) AS ap, CAST(count(*) FILTER (WHERE class = 'negative') AS DOUBLE) AS an FROM k),
-n AS (SELECT stem, CAST(count(*) FILTER (WHERE class = 'positive') AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE class = 'negative') AS DOUBLE) AS b FROM w JOIN k USING (doc_id) GROUP BY stem),
-g AS (SELECT stem, a, b, ap - a AS c, an - b AS d FROM n, t WHERE a + b >= 5 AND greatest(a, b) >= 3),
-x AS (SELECT stem, a, b, round(2 * ({' + '.join(f"(CASE WHEN {v} > 0 THEN {v} * ln({v}) ELSE 0 END)" for v in 'abcd')}
+n AS (SELECT stem, CAST(count(*) FILTER (WHERE class = 'positive') AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE class = 'negative') AS DOUBLE) AS b, count(*) FILTER (WHERE class = 'neutral') AS neu FROM w JOIN k USING (doc_id) GROUP BY stem),
+g AS (SELECT stem, a, b, neu, ap - a AS c, an - b AS d FROM n, t WHERE a + b + neu >= 10 AND greatest(a, b) >= 5),
+x AS (SELECT stem, a, b, neu, round(2 * ({' + '.join(f"(CASE WHEN {v} > 0 THEN {v} * ln({v}) ELSE 0 END)" for v in 'abcd')}
   - ({' + '.join(f"(CASE WHEN {v} > 0 THEN ({v}) * ln({v}) ELSE 0 END)" for v in ('(a+b)', '(c+d)', '(a+c)', '(b+d)'))}) + (a+b+c+d) * ln(a+b+c+d)), 4) AS llr FROM g)
-SELECT CAST(row_number() OVER (ORDER BY llr DESC, stem) AS INTEGER) AS rank, stem, CAST(a AS BIGINT) AS pos, CAST(b AS BIGINT) AS neg, llr,
+SELECT CAST(row_number() OVER (ORDER BY llr DESC, stem) AS INTEGER) AS rank, stem, CAST(a AS BIGINT) AS pos, CAST(b AS BIGINT) AS neg, neu, llr,
        round(round((a - b) / (a + b) * 0.9 / 0.05) * 0.05, 2) AS score FROM x WHERE llr >= 10.83 ORDER BY llr DESC, stem LIMIT 500
 """)
 def lexicon_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

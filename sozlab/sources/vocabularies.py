@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def dictionary(spark: SparkSession, path: str) -> DataFrame:
@@ -41,6 +47,25 @@ def reviews(spark: SparkSession, path: str) -> DataFrame:
     return table.where("content is not null and score between 1 and 5")
 
 
+def arrow_streams(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """The columns of ``ddl`` of files in Arrow's streaming format; a file (of up to 2 GB) is read by one task, batch by batch."""
+    made = StructType.fromDDL(ddl)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(made)
+        for batch in batches:
+            for content in batch.column("content"):
+                for held in pa.ipc.open_stream(io.BytesIO(content.as_py())):
+                    yield pa.RecordBatch.from_arrays([held.column(f.name).cast(f.type) for f in schema], schema=schema)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, made)
+
+
+def json_records(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """Files that hold one JSON array of records each."""
+    return spark.read.schema(ddl).option("multiLine", "true").json(path)
+
+
 def corpus(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """Text files of a tree, a row per line (or per file): file, value."""
     read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")

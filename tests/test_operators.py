@@ -87,7 +87,7 @@ def test_quality():
     score, found = quality.issues(["Salam", "  ", "dünya", " ", ",", "necə", "?", "?"], "Latn", 0.9)
     assert {i["message"] for i in found} == {"multiple spaces", "space before punctuation", "repeated punctuation"} and score == 100 - 3 - 3 - 1
     score, found = quality.issues(["kitаb"], "Latn", 0.9)
-    assert found[0]["severity"] == "Error" and found[0]["suggestion"] == "kitab" and score == 90
+    assert found[0]["severity"] == "error" and found[0]["suggestion"] == "kitab" and score == 90
     assert quality.issues(None, None, None) == (100, [])
 
 
@@ -106,7 +106,7 @@ def test_jobs(spark):
 @pytest.mark.parametrize("word, want", [("kіtab", "kitab"), ("Уşaq", "Yşaq"), ("Јalə", "Jalə"), ("kitab", None)])
 def test_letters_of_the_other_script(word, want):
     score, found = quality.issues([word], "Latn", 0.9)
-    assert [i["suggestion"] for i in found if i["type"] == "Layout"] == ([want] if want else []) and (score < 100) == bool(want)
+    assert [i["suggestion"] for i in found if i["type"] == "layout"] == ([want] if want else []) and (score < 100) == bool(want)
 
 
 @pytest.fixture(scope="module")
@@ -157,5 +157,5 @@ def test_keywords_and_sentiment_of_texts(spark, vocabulary):
 def test_unknown_words_are_issues(spark, vocabulary):
     frame = spark.createDataFrame([(1, "kitab gözəl ketab Qqqqq x7xx"), (2, None)], "id long, text string")
     got = {r.id: r for r in quality.validate(frame, "text", "id", *vocabulary).collect()}
-    assert [(i.text, i.start, i.type, i.suggestion) for i in got[1].issues] == [("ketab", 14, "Spelling", "kitab")]
+    assert [(i.text, i.start, i.type, i.suggestion) for i in got[1].issues] == [("ketab", 14, "spelling", "kitab")]
     assert got[1].score == 90 and got[2].score == 100 and got[2].issues == []
