@@ -87,9 +87,19 @@ def suggestions(words: DataFrame, frequencies: DataFrame, max_distance: int = MO
 
     asked = explode_rows(distinct, ["word"], "word string, del string", probes)
     freq = frequencies.groupBy(F.col("word").alias("term")).agg(F.max("freq").alias("frequency"))
-    near = asked.join(delete_index(frequencies), "del").select("word", "term").distinct()
+    near = asked.join(delete_index(frequencies), "del").select("word", "term")
     near = near.where((F.col("word") != F.col("term")) & (F.abs(F.length("word") - F.length("term")) <= bound))
-    measured = map_rows(near, ["word", "term"], "distance int", alignment_distance).where(F.col("distance") <= bound)
+    # a swap is one edit here and two for levenshtein; letters tell where one can matter, and only those pairs go to Python
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    others = lambda a, b: F.length(F.call_function("translate", a, b, F.lit("")))
+    same = letters("word") == letters("term")
+    few = (others(F.col("word"), F.col("term")) <= 1) & (others(F.col("term"), F.col("word")) <= 1)
+    plain = F.col("plain")
+    near = near.withColumn("plain", F.levenshtein("word", "term", 2 * MOST_DISTANCE)).where(plain >= 0)
+    near = near.withColumn("swapped", (plain.isin(2, 4) & same) | ((plain == 3) & few)).where((plain <= bound) | F.col("swapped")).distinct()
+    measured = map_rows(
+        near, ["word", "term", "plain", "swapped"], "distance int", lambda a, b, d, swapped: alignment_distance(a, b) if swapped else d
+    ).where(F.col("distance") <= bound).select("word", "term", "distance")
     exact = distinct.join(freq, F.col("word") == F.col("term"), "left_semi").select("word", F.col("word").alias("term"), F.lit(0).alias("distance"))
     order = Window.partitionBy("word").orderBy("distance", F.desc("frequency"), "term")
     return (
