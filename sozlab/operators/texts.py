@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens
 from ..functions.casing import apply_case, az_lower, compose_nfc, is_title_case
+from ..sources.shared import settled
 from . import lexical, morphology
 
 MOST_BYTES, MOST_WORD_BYTES, MOST_PARTS, LEAST_LETTERS = 1 << 20, 256, 8, 2
@@ -86,9 +87,11 @@ def check_words(words: DataFrame, dictionary: DataFrame, frequencies: DataFrame,
     rows = rows.select("word", F.when(low.rlike(TAILED), F.regexp_extract(low, TAILED, 1)).otherwise(low).alias("part"))
     plain = (F.length("part") < LEAST_LETTERS) | F.col("part").rlike(r"\p{Nd}")
     doubtful = rows.where(~plain).select("part").distinct()
-    forms = doubtful.select("part", F.col("part").alias("form")).union(
-        restore_words(doubtful, dictionary, "part").where("restored != word").select("word", "restored")
-    ).persist()
+    forms = settled(
+        doubtful.select("part", F.col("part").alias("form")).union(
+            restore_words(doubtful, dictionary, "part").where("restored != word").select("word", "restored")
+        )
+    )
     listed = frequencies.select(F.col("word").alias("form"), F.lit(True).alias("listed")).distinct()
     inflected = morphology.analyse_words(forms, dictionary, "form").select(F.col("word").alias("form"), "inflected")
     judged = forms.join(listed, "form", "left").join(inflected, "form", "left")
@@ -105,16 +108,16 @@ def suggest_words(words: DataFrame, dictionary: DataFrame, frequencies: DataFram
     if the result has an analysis on a dictionary word.
     """
     wrong = check_words(words, dictionary, frequencies, column).where("not correct and octet_length(word) <= %d" % MOST_WORD_BYTES)
-    # distinct misspelt words and what is near them are read several times; lost blocks are computed again
-    wrong = wrong.select("word", az_lower(F.col("word")).alias("low")).persist()
-    near = lexical.suggestions(wrong, frequencies, column="low").withColumnRenamed("word", "low").drop("rank").persist()
+    # distinct misspelt words and what is near them are read several times: as plans inside plans they outgrow the driver
+    wrong = settled(wrong.select("word", az_lower(F.col("word")).alias("low")))
+    near = settled(lexical.suggestions(wrong, frequencies, column="low").withColumnRenamed("word", "low").drop("rank"))
     rest = wrong.select("low").distinct().join(near.select("low").distinct(), "low", "left_anti")
     stems = morphology.analyse_words(rest, dictionary, "low").select(F.col("word").alias("low"), F.explode("analyses").alias("a"))
     suffix = F.array_join(F.transform("a.morphemes", lambda m: m["surface"]), "")
     open_stems = stems.where(F.size("a.morphemes") > 0).select("low", az_lower(F.col("a.stem")).alias("stem"), suffix.alias("suffix"))
-    open_stems = open_stems.join(dictionary.select(F.col("lemma").alias("stem")).distinct(), "stem", "left_anti").distinct().persist()
+    open_stems = settled(open_stems.join(dictionary.select(F.col("lemma").alias("stem")).distinct(), "stem", "left_anti").distinct())
     found = lexical.suggestions(open_stems, frequencies, column="stem").withColumnRenamed("word", "stem").drop("rank")
-    built = open_stems.join(found, "stem").select("low", F.concat("term", "suffix").alias("term"), "distance", "frequency").persist()
+    built = settled(open_stems.join(found, "stem").select("low", F.concat("term", "suffix").alias("term"), "distance", "frequency"))
     valid = morphology.analyse_words(built, dictionary, "term").where("inflected").select(F.col("word").alias("term"))
     built = built.join(valid, "term", "left_semi").groupBy("low", "term").agg(
         F.min(F.struct("distance", (-F.col("frequency")).alias("f"))).alias("best")
