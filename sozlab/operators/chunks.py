@@ -5,17 +5,21 @@ from __future__ import annotations
 import regex
 from pyspark.sql import DataFrame
 
+from ..functions import tokens
 from .rows import map_rows
 
 MOST_CHUNKS, SHORT = 10_000, 10
 DEFAULT_SIZE, DEFAULT_OVERLAP = 512, 50
 CHUNKS = "array<struct<text:string,start:int,end:int,index:int>>"
-#: Abbreviations whose dot ends no sentence.
-ABBREVIATIONS = "prof|dos|ak|dr|az|ar|vb|km|kq|sm|min"
-SENTENCE = regex.compile(
-    rf"(?<=[.?!…])(?<!(?<!\p{{L}})(?i:{ABBREVIATIONS})\.)(?<!(?<!\p{{L}})(?i:və)\s+s\.)(?=[\s\p{{Z}}]+\p{{Lu}})|(?<=\n\n)(?!\n)"
-)
-WORDS = regex.compile(r"[\s\p{Z}]+|\p{L}[\p{L}\p{Nd}'’ʼ-]*|[0-9]+|.", regex.DOTALL)
+
+
+def _same_rule(pattern: str) -> regex.Pattern:
+    """A pattern of the column expressions, for the words of which Java and Python differ."""
+    return regex.compile(pattern.replace(r"\s\x{85}", r"\t\n\x0b\f\r \x85").replace(r"\s", r"[\t\n\x0b\f\r ]").replace("(?iu:", "(?i:"))
+
+
+SENTENCE, TOKEN = _same_rule(tokens.SENTENCE_BREAK), _same_rule(tokens.TOKEN)
+PARAGRAPH = regex.compile(r"(?s).*?\n\n|.+")
 
 
 def _cut(text: str, places: list[int]) -> list[str]:
@@ -64,25 +68,30 @@ def _pieces(text: str, size: int, level: int) -> list[str]:
         return [text]
     if level == 3:
         return [text[i : i + size] for i in range(0, len(text), size)]
-    split = (lambda t: regex.split(r"(?<=\n\n)", t) if "\n\n" in t else [t], sentences, WORDS.findall)[level]
-    parts = [p for p in split(text) if p]
+    parts = (PARAGRAPH.findall, sentences, lambda t: [m[0] for m in TOKEN.finditer(t)])[level](text)
     return [q for p in parts for q in (_pieces(p, size, level + 1) if len(p) > size or len(parts) == 1 else [p])]
 
 
 def recursive(text: str, size: int, overlap: int = 0) -> list[dict] | None:
-    """Paragraphs, sentences, words, then characters, merged again up to ``size``; contiguous, so nothing overlaps."""
+    """Paragraphs, sentences, tokens, then characters, merged again up to ``size``; a short rest joins the chunk before it.
+
+    Contiguous, so nothing overlaps.
+    """
     if not text or size <= 0:
         return None
     pieces = _pieces(text, size, 0)
-    groups: list[tuple[int, int]] = []
-    length = 0
+    filled: list[list[int]] = []
     for i, piece in enumerate(pieces):
-        if groups and (length + len(piece) <= size or len(piece) < SHORT):
-            groups[-1] = (groups[-1][0], i + 1)
-            length += len(piece)
+        if filled and filled[-1][2] + len(piece) <= size:
+            filled[-1][1:] = [i + 1, filled[-1][2] + len(piece)]
+        else:
+            filled.append([i, i + 1, len(piece)])
+    groups: list[tuple[int, int]] = []
+    for first, last, length in filled:
+        if groups and length < SHORT:
+            groups[-1] = (groups[-1][0], last)
         else:
-            groups.append((i, i + 1))
-            length = len(piece)
+            groups.append((first, last))
     return _spans(pieces, groups)
 
 

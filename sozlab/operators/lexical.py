@@ -71,8 +71,8 @@ def alignment_distance(a: str, b: str) -> int:
 def suggestions(words: DataFrame, frequencies: DataFrame, max_distance: int = MOST_DISTANCE, column: str = "word") -> DataFrame:
     """Ranked dictionary terms near each distinct word: word, rank, term, distance, frequency.
 
-    Candidates share a deletion of their first letters with the word; a swap or an edit within the bound always does,
-    but for the extra letters of short words that a deletion index leaves out.
+    A term has itself as its only suggestion.  Candidates share a deletion of their first letters with the word; a swap or
+    an edit within the bound always does, but for the extra letters of short words that a deletion index leaves out.
     """
     bound = max(0, min(max_distance, MOST_DISTANCE))
     distinct = words.select(az_lower(F.col(column)).alias("word")).where("word is not null and length(word) >= 2").distinct()
@@ -85,8 +85,9 @@ def suggestions(words: DataFrame, frequencies: DataFrame, max_distance: int = MO
             probed |= level
         return [(word, p) for p in sorted(probed)]
 
-    asked = explode_rows(distinct, ["word"], "word string, del string", probes)
     freq = frequencies.groupBy(F.col("word").alias("term")).agg(F.max("freq").alias("frequency"))
+    unknown = distinct.join(freq, F.col("word") == F.col("term"), "left_anti")
+    asked = explode_rows(unknown, ["word"], "word string, del string", probes)
     near = asked.join(delete_index(frequencies), "del").select("word", "term")
     near = near.where((F.col("word") != F.col("term")) & (F.abs(F.length("word") - F.length("term")) <= bound))
     # a swap is one edit here and two for levenshtein; letters tell where one can matter, and only those pairs go to Python
