@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .tokens import blocks, let, running_starts
+
 MOST_BYTES, MOST_ENTITIES, MOST_EMAIL = 1 << 20, 10_000, 254
 B, A = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
 S = "[\\t\\n\\f\\r ]"
@@ -26,51 +28,46 @@ ENTITY = "array<struct<text:string,start:int,end:int,type:string,labeled:boolean
 def _found(text: Column, name: str) -> Column:
     """Matches of a pattern as entities; offsets come from the pieces between matches."""
     kind, labelled = name.rstrip("+0:"), name.endswith(":")
-    matches = F.regexp_extract_all(text, F.lit(f"(?s){PATTERNS[name]}"), F.lit(0))
-    between = F.split(text, f"(?s){PATTERNS[name]}", -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(ENTITY).alias("out"))
-
-    def step(state: Column, i: Column) -> Column:
-        match = F.get(matches, i)
-        begin = state["at"] + F.octet_length(F.get(between, i))
-        value = match
-        skipped = F.lit(0)
+    pattern = f"(?s){PATTERNS[name]}"
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.zip_with(F.split(text, pattern, -1), matches, lambda gap, m: F.struct(F.octet_length(gap).alias("gap"), m.alias("match")))
+    pairs = F.filter(gaps, lambda p: p["match"].isNotNull())
+
+    def entity(pair: Column, start: Column) -> Column:
+        match, begin = pair["match"], start + pair["gap"]
+        value, skipped = match, F.lit(0)
         if labelled:
             value = match.substr(-F.lit(7 if kind == "FIN" else 10), F.lit(10))
             skipped = F.octet_length(match) - F.octet_length(value)
         elif kind == "URL":
             value = F.regexp_replace(match, r"[.,;:!?)\]}>]+$", "")
-        entity = F.struct(
+        return F.struct(
             value.alias("text"),
             (begin + skipped).alias("start"),
             (begin + skipped + F.octet_length(value)).alias("end"),
             F.lit(kind).alias("type"),
             F.lit(labelled).alias("labeled"),
         )
-        return F.struct((begin + F.octet_length(match)).alias("at"), F.concat(state["out"], F.array(entity)).alias("out"))
 
-    places = F.when(F.size(matches) > 0, F.sequence(F.lit(0), F.size(matches) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, start, step)["out"]
+    whole = lambda p: p["gap"] + F.octet_length(p["match"])
+    return let(pairs, lambda held: F.zip_with(held, running_starts(F.transform(held, whole)), entity))
 
 
 def recognize(text: Column) -> Column:
     """All entities by start, overlaps resolved: the earliest stays, of equal starts the longest, then the labelled."""
     emails = F.filter(_found(text, "Email"), lambda e: F.octet_length(e["text"]) <= MOST_EMAIL)
-    fins = _found(text, "FIN:")
-    bare = F.filter(
-        _found(text, "FIN"),
-        lambda e: e["text"].rlike("[A-Z]") & e["text"].rlike("[0-9]") & ~F.exists(fins, lambda f: f["start"] == e["start"]),
-    )
+    mixed = F.filter(_found(text, "FIN"), lambda e: e["text"].rlike("[A-Z]") & e["text"].rlike("[0-9]"))
+    fins = let(_found(text, "FIN:"), lambda held: F.concat(held, let(F.transform(held, lambda f: f["start"]), lambda at: F.filter(mixed, lambda e: ~F.array_contains(at, e["start"])))))
     urls = F.filter(_found(text, "URL"), lambda e: e["text"] != "")
     everything = F.concat(
         urls, emails, _found(text, "IBAN"), _found(text, "LicensePlate"), _found(text, "Phone+"), _found(text, "Phone0"),
-        fins, bare, _found(text, "VOEN:"),
+        fins, _found(text, "VOEN:"),
     )
     keyed = F.transform(
         everything,
         lambda e, i: F.struct(e["start"].alias("s"), (e["start"] - e["end"]).alias("l"), (~e["labeled"]).alias("u"), i.alias("i"), e.alias("e")),
     )
-    start = F.struct(F.lit(0).alias("fence"), F.array().cast(ENTITY).alias("out"))
+    begin = lambda fence, kind: F.struct(fence.alias("fence"), F.array().cast(kind).alias("out"))
 
     def step(state: Column, k: Column) -> Column:
         e = k["e"]
@@ -78,12 +75,21 @@ def recognize(text: Column) -> Column:
             e["start"] >= state["fence"], F.struct(e["end"].alias("fence"), F.concat(state["out"], F.array(e)).alias("out"))
         ).otherwise(state)
 
-    kept = F.aggregate(F.array_sort(keyed), start, step)["out"]
+    def block(state: Column, rows: Column) -> Column:
+        done = F.aggregate(rows, begin(state["fence"], ENTITY), step)
+        return let(done, lambda d: F.struct(d["fence"].alias("fence"), F.concat(state["out"], F.array(d["out"])).alias("out")))
+
+    kept = F.flatten(F.aggregate(blocks(F.array_sort(keyed)), begin(F.lit(0), f"array<{ENTITY}>"), block)["out"])
     likely = text.rlike(r"[0-9@]|https?://")
     empty = F.array().cast(ENTITY)
     return F.when((text != "") & (F.octet_length(text) <= MOST_BYTES), F.when(likely, F.slice(kept, 1, MOST_ENTITIES)).otherwise(empty))
 
 
+def of_type(found: Column, kind: str) -> Column:
+    """Texts of those of one type among recognised entities; recognise once where several types are asked for."""
+    return F.transform(F.filter(found, lambda e: e["type"] == kind), lambda e: e["text"])
+
+
 def texts_of(text: Column, kind: str) -> Column:
     """Texts of the entities of one type."""
-    return F.transform(F.filter(recognize(text), lambda e: e["type"] == kind), lambda e: e["text"])
+    return of_type(recognize(text), kind)

@@ -23,6 +23,38 @@ SENTENCE_BREAK = (
 )
 
 
+#: Running sums are taken in blocks of so many numbers, as each step of a fold copies what it has gathered.
+BLOCK = 256
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def blocks(items: Column) -> Column:
+    """An array as an array of arrays of BLOCK items each; an empty one as one empty array."""
+
+    def cut(held: Column) -> Column:
+        last = F.floor(F.greatest(F.size(held) - 1, F.lit(0)) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(held, i * BLOCK + 1, F.lit(BLOCK)))
+
+    return let(items, cut)
+
+
+def running_starts(sizes: Column) -> Column:
+    """For each of an array of sizes the sum of those before it."""
+
+    def folded(items: Column, size) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(items, start, lambda s, x: F.struct((s["at"] + size(x)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))
+
+    def joined(sums: Column) -> Column:
+        return F.flatten(F.zip_with(sums, folded(sums, lambda b: b["at"])["out"], lambda b, base: F.transform(b["out"], lambda x: x + base)))
+
+    return let(F.transform(blocks(sizes), lambda b: folded(b, lambda x: x)), joined)
+
+
 def with_offsets(pieces: Column, fields=None) -> Column:
     """Pieces that tile a text as structs with half-open byte offsets; ``fields`` adds columns of a piece."""
     extra = fields or (lambda p: [])
@@ -30,16 +62,7 @@ def with_offsets(pieces: Column, fields=None) -> Column:
     def piece(p: Column, at: Column) -> Column:
         return F.struct(p.alias("text"), at.alias("start"), (at + F.octet_length(p)).alias("end"), *extra(p))
 
-    kind = "text:string,start:int,end:int" + (",type:string" if fields else "")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<{kind}>>").alias("out"))
-    folded = F.aggregate(
-        pieces,
-        start,
-        lambda s, p: F.struct(
-            (s["at"] + F.octet_length(p)).alias("at"), F.concat(s["out"], F.array(piece(p, s["at"]))).alias("out")
-        ),
-    )
-    return folded["out"]
+    return F.when(pieces.isNotNull(), let(pieces, lambda held: F.zip_with(held, running_starts(F.transform(held, F.octet_length)), piece)))
 
 
 def token_texts(text: Column) -> Column:

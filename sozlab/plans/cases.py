@@ -143,8 +143,8 @@ def entities_of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("a +99450"), part(4, 7), F.lit(" u"), d, F.lit("@mail.az fin: X"), part(5, 6), F.lit(" voen:"), d, F.lit(" AZ21NABZ0000000000"), d,
         F.lit(" "), part(9, 2), F.lit("-AB-"), part(8, 3), F.lit(" http://a.az/"), d,
     )
-    made = _table(spark, sf_dir, "orders").select(KEY, text.alias("t"))
-    return made.select(KEY, *[F.array_join(entities.texts_of(F.col("t"), kind), ",").alias(kind) for kind in display.NAMES["entity"]])
+    made = _table(spark, sf_dir, "orders").select(KEY, text.alias("t")).select(KEY, entities.recognize(F.col("t")).alias("found"))
+    return made.select(KEY, *[F.array_join(entities.of_type(F.col("found"), kind), ",").alias(kind) for kind in display.NAMES["entity"]])
 
 
 #: Text, type, moment in SQL by the order's date d and its weekday w (Monday is 0), parts that it names (-1: none is named).

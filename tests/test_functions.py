@@ -93,3 +93,15 @@ def test_entities(one):
     assert one("x@y.az", lambda c: entities.texts_of(c, "Email")) == ["x@y.az"] and one("", entities.recognize) is None
 
 
+
+
+def test_offsets_of_long_texts(spark):
+    """More tokens and entities than a block of running sums holds; offsets are those of the text's bytes."""
+    made = ["şa@b.cc ", "söz, "] * 700
+    frame = spark.createDataFrame([("".join(made),)], "t string").select(
+        F.transform(entities.recognize(F.col("t")), lambda e: F.struct(e["text"], e["start"], e["end"])).alias("e"),
+        F.transform(tokens.word_tokens(F.col("t")), lambda e: F.struct(e["text"], e["start"], e["end"])).alias("w"),
+    )
+    row, whole = frame.first(), "".join(made).encode()
+    assert len(row.e) == 700 and all(whole[a:b].decode() == t == "a@b.cc" for t, a, b in row.e)
+    assert all(whole[a:b].decode() == t for t, a, b in row.w) and b"".join(t.encode() for t, _, _ in row.w) == whole
