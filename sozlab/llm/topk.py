@@ -4,6 +4,8 @@ Vectors are turned into integer postings (dimension -> weight).  Candidates and
 blocks; each pair of a candidate block and a query block is one task that scatters the query rows' weights
 over the block's postings into dense score arrays, one dimension (term) at a time.  Partition selection keeps
 the best k of every block; a ranked window merges the blocks.  No index and no pruning, so the result is exact.
+Every row is copied once per block of the other side, so n candidates and m queries in blocks of b rows shuffle 2 n m / b
+rows; blocks are as large as a task's memory allows.
 """
 
 from __future__ import annotations
@@ -15,10 +17,12 @@ from pyspark.sql import functions as F
 
 from .common import spread
 
-CANDIDATE_BLOCK = 8192
-QUERY_BLOCK = 1024
-#: Query rows whose dense score arrays are held at once.
-STRIP = 128
+#: Components that a block of candidates or of queries holds at most (as 8-byte weights 32 MB), and its rows at most.
+BLOCK_COMPONENTS, BLOCK_ROWS = 1 << 22, 1 << 16
+#: Blocks are smaller than that, down to so many rows, while there are fewer of them than cores.
+LEAST_ROWS = 8192
+#: Scores in the dense arrays that are held at once.
+STRIP_SCORES = 1 << 20
 PARTIAL = "query_id long, vec_id long, score long"
 
 
@@ -78,9 +82,10 @@ def _search_block(k: int):
             candidates = candidates.sort_values("vec_id", kind="stable")
             ids, matrix = candidates["vec_id"].to_numpy(), _dense(candidates["q"])
             query_ids, weights = queries["vec_id"].to_numpy(), _dense(queries["q"])
-            for at in range(0, len(query_ids), STRIP):
-                scores = accumulate(weights[at : at + STRIP], matrix)
-                for query, row in zip(query_ids[at : at + STRIP], scores):
+            strip = max(1, STRIP_SCORES // len(ids))
+            for at in range(0, len(query_ids), strip):
+                scores = accumulate(weights[at : at + strip], matrix)
+                for query, row in zip(query_ids[at : at + strip], scores):
                     others = ids != query
                     row, own = (row, ids) if others.all() else (row[others], ids[others])
                     top = best(row, own, k)
@@ -97,12 +102,13 @@ def exact_topk(
     scale: int = 1024,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
-    candidate_block: int = CANDIDATE_BLOCK,
-    query_block: int = QUERY_BLOCK,
+    candidate_block: int | None = None,
+    query_block: int | None = None,
 ) -> DataFrame:
     """The k best partners of each query row among all other rows: query_id, rank, vec_id, score.
 
-    ``is_query`` is a condition on the column ``vec_id``.  Defined results: null ids and vectors that are null or
+    ``is_query`` is a condition on the column ``vec_id``; ``candidate_block`` and ``query_block`` are rows of a block, by
+    default as many as BLOCK_COMPONENTS allow for the widest vector.  Defined results: null ids and vectors that are null or
     hold null or non-finite components take no part; components missing from the shorter of two vectors count as
     zero, so an empty vector scores 0 with everything; rows sharing an id are one query whose pairs rank together,
     and never partners of each other; ties go to the smaller id; an empty table gives an empty result; other
@@ -110,8 +116,11 @@ def exact_topk(
     """
     base = quantised(vectors, id_col, vec_col, scale)
     queries = base.where(is_query)
-    counted = base.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("m")).first()
-    parts, strips = spread(counted["n"], candidate_block), spread(counted["m"], query_block)
+    counted = base.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("m"), F.max(F.size("q")).alias("width")).first()
+    rows = max(1, min(BLOCK_ROWS, BLOCK_COMPONENTS // max(counted["width"] or 1, 1)))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    parts = spread(counted["n"], candidate_block or rows, min(cores, spread(counted["n"], LEAST_ROWS)))
+    strips = spread(counted["m"], query_block or rows)
     seed = F.xxhash64("vec_id", "q")
     cand = base.select(
         F.pmod(seed, F.lit(parts)).cast("int").alias("cb"),
