@@ -141,19 +141,19 @@ def _sql_words(n: str) -> str:
     return f"concat_ws(' ', {', '.join(parts)})"
 
 
-@query(f"SELECT o_orderkey, {_sql_words('(o_orderkey * 1000003)')} AS words FROM orders WHERE o_orderkey > 0")
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN 'sıfır' ELSE {_sql_words('(o_orderkey * 1000003)')} END AS words FROM orders")
 def number_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders").where("o_orderkey > 0")
+    orders = _table(spark, sf_dir, "orders")
     return orders.select("o_orderkey", (F.col("o_orderkey") * 1000003).alias("n")).select("o_orderkey", numbers.to_words(F.col("n")).alias("words"))
 
 
 @query(f"""
-WITH t AS (SELECT o_orderkey, {_sql_words('o_orderkey')} AS w FROM orders WHERE o_orderkey > 0),
+WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN 'sıfır' ELSE {_sql_words('o_orderkey')} END AS w FROM orders),
 v AS (SELECT o_orderkey, w, translate(regexp_extract(w, '^.*([aıoueəiöü])', 1), 'aıoueəiöü', 'ııuuiiiüü') AS x FROM t)
 SELECT o_orderkey, w || CASE WHEN regexp_matches(w, '[aıoueəiöü]$') THEN '' ELSE x END || 'nc' || x AS ordinal FROM v
 """)
 def ordinal_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders").where("o_orderkey > 0")
+    orders = _table(spark, sf_dir, "orders")
     said = orders.select("o_orderkey", numbers.to_words(F.col("o_orderkey")).alias("w"))
     return said.select("o_orderkey", numbers.ordinal_of(F.col("w")).alias("ordinal"))
 
