@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.casing import az_lower
-from .rows import explode_rows, map_rows
+from .neighbours import near_pairs
+from .rows import explode_rows
 
 #: Letters that lose their mark when typed plainly.
 MARKED, PLAIN = "əöüğçş", "eougcs"
@@ -42,19 +43,6 @@ def restore_diacritics(words: DataFrame, dictionary: DataFrame, column: str = "w
     return hit.select("word", F.when(clear, F.array_join(letters, "")).otherwise(F.col("word")).alias("restored"))
 
 
-def _deletes(word: str) -> set[str]:
-    once = {word[:i] + word[i + 1 :] for i in range(len(word))}
-    return once | {w[:i] + w[i + 1 :] for w in once for i in range(len(w))}
-
-
-def delete_index(frequencies: DataFrame) -> DataFrame:
-    """(del, term): what one or two deletions leave of the first letters of each term; not the letters themselves."""
-    return explode_rows(
-        frequencies.select("word").distinct(), ["word"], "del string, term string",
-        lambda w: [(d, w) for d in sorted(_deletes(w[:PREFIX]) - {w[:PREFIX]})],
-    )
-
-
 def alignment_distance(a: str, b: str) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours, no part edited twice."""
     before, row = [], list(range(len(b) + 1))
@@ -68,45 +56,24 @@ def alignment_distance(a: str, b: str) -> int:
     return row[-1]
 
 
-def suggestions(words: DataFrame, frequencies: DataFrame, max_distance: int = MOST_DISTANCE, column: str = "word") -> DataFrame:
-    """Ranked dictionary terms near each distinct word: word, rank, term, distance, frequency.
+def suggestions(
+    words: DataFrame, frequencies: DataFrame, max_distance: int = MOST_DISTANCE, column: str = "word", top: int | None = None
+) -> DataFrame:
+    """Ranked dictionary terms near each distinct word: word, rank, term, distance, frequency; the first ``top`` or all.
 
-    A term has itself as its only suggestion.  Candidates share a deletion of their first letters with the word; a swap or
-    an edit within the bound always does, but for the extra letters of short words that a deletion index leaves out.
+    A term has itself as its only suggestion.  Of words with up to ``PREFIX`` letters, terms that have ``max_distance``
+    letters less are left out, as a deletion index of the first letters does not have them.
     """
     bound = max(0, min(max_distance, MOST_DISTANCE))
     distinct = words.select(az_lower(F.col(column)).alias("word")).where("word is not null and length(word) >= 2").distinct()
-
-    def probes(word: str) -> list[tuple]:
-        level = {word[:PREFIX]}
-        probed = set(level)
-        for _ in range(bound):
-            level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
-            probed |= level
-        return [(word, p) for p in sorted(probed)]
-
-    freq = frequencies.groupBy(F.col("word").alias("term")).agg(F.max("freq").alias("frequency"))
-    unknown = distinct.join(freq, F.col("word") == F.col("term"), "left_anti")
-    asked = explode_rows(unknown, ["word"], "word string, del string", probes)
-    near = asked.join(delete_index(frequencies), "del").select("word", "term")
-    near = near.where((F.col("word") != F.col("term")) & (F.abs(F.length("word") - F.length("term")) <= bound))
-    # a swap is one edit here and two for levenshtein; letters tell where one can matter, and only those pairs go to Python
-    letters = lambda c: F.array_sort(F.split(c, ""))
-    others = lambda a, b: F.length(F.call_function("translate", a, b, F.lit("")))
-    same = letters("word") == letters("term")
-    few = (others(F.col("word"), F.col("term")) <= 1) & (others(F.col("term"), F.col("word")) <= 1)
-    plain = F.col("plain")
-    near = near.withColumn("plain", F.levenshtein("word", "term", 2 * MOST_DISTANCE)).where(plain >= 0)
-    near = near.withColumn("swapped", (plain.isin(2, 4) & same) | ((plain == 3) & few)).where((plain <= bound) | F.col("swapped")).distinct()
-    measured = map_rows(
-        near, ["word", "term", "plain", "swapped"], "distance int", lambda a, b, d, swapped: alignment_distance(a, b) if swapped else d
-    ).where(F.col("distance") <= bound).select("word", "term", "distance")
-    exact = distinct.join(freq, F.col("word") == F.col("term"), "left_semi").select("word", F.col("word").alias("term"), F.lit(0).alias("distance"))
+    freq = frequencies.where("word is not null").groupBy(F.col("word").alias("term")).agg(F.max("freq").alias("frequency"))
+    found = distinct.join(freq, F.col("word") == F.col("term")).select("word", "term", F.lit(0).alias("distance"), "frequency")
+    if bound:
+        unknown = distinct.join(freq, F.col("word") == F.col("term"), "left_anti")
+        found = found.unionByName(near_pairs(unknown, freq, bound, PREFIX, top))
     order = Window.partitionBy("word").orderBy("distance", F.desc("frequency"), "term")
-    return (
-        measured.unionByName(exact).join(freq, "term").withColumn("rank", F.row_number().over(order))
-        .select("word", "rank", "term", "distance", "frequency")
-    )
+    ranked = found.repartition("word").dropDuplicates(["word", "term"]).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.lit(True) if top is None else F.col("rank") <= top).select("word", "rank", "term", "distance", "frequency")
 
 
 def correct_words(words: DataFrame, frequencies: DataFrame, column: str = "word") -> DataFrame:

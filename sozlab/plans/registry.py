@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import casing, detect, entities, numbers, tokens, translit
 from ..operators import chunks, datetimes, lexical, morphology, quality, texts
+from ..sources.shared import settled
 from ..streaming import streams
 from . import jobs
 
@@ -404,9 +405,9 @@ def word_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def spelling_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of the documents without its third letter, and the three best of what it may have been."""
-    freq = _document_words(spark, sf_dir).groupBy(F.col("stem").alias("word")).agg(F.count("*").alias("freq"))
+    freq = settled(_document_words(spark, sf_dir).groupBy(F.col("stem").alias("word")).agg(F.count("*").alias("freq")))
     wrong = freq.select(F.concat(F.col("word").substr(1, 2), F.expr("substring(word, 4)")).alias("word"))
-    return lexical.suggestions(wrong, freq).where("rank <= 3")
+    return lexical.suggestions(wrong, freq, top=3)
 
 
 def _vocabulary(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
